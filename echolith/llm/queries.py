@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from echolith.llm import sql
 from echolith.llm.encode import encode_column
+from echolith.llm.forest import HistoryForest
 from echolith.llm.frequent import frequent_values
 from echolith.llm.leaks import leaked_spans, leaks
+from echolith.llm.neighbours import neighbours
 from echolith.llm.quality import not_prose, quality_stats
 from echolith.llm.rewrites import collapsed, variant_pairs
 from echolith.llm.secrets import redacted, secrets
+from echolith.runtime import fresh_path
 from echolith.sources.tables import table
 
 
@@ -46,6 +49,20 @@ def p5_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return redacted(_records(spark, sf), ["rec_kind", "rec_key"], "command")
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    near = neighbours(table(spark, sf, "vector_meta"), "command_id", "embedding_bytes", "created_at_ms", k=5, floor=0.7)
+    return near.select(F.least("command_id", "neighbour").alias("command_id_a"), F.greatest("command_id", "neighbour").alias("command_id_b")).distinct()
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """History is batch 0; the waiting batches are appended as one run of their own and see what is lower than they are."""
+    forest = HistoryForest(spark, fresh_path(spark, "forest"))
+    waiting = table(spark, sf, "new_commands")
+    forest.append(HistoryForest.records(table(spark, sf, "commands"), "command", "cwd", F.lit(0)), "history")
+    forest.append(HistoryForest.records(waiting, "command", "cwd", F.col("batch_no")), "waiting")
+    return forest.match(waiting, "id", "command", "cwd", F.col("batch_no"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_column(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -78,6 +95,8 @@ QUERIES = {
     "p4_collapsed": p4_collapsed,
     "p5_found": p5_found,
     "p5_redacted": p5_redacted,
+    "p6_found": p6_found,
+    "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_spans": p9_spans,

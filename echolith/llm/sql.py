@@ -19,6 +19,18 @@ with r as (
 """
 
 
+_NORMAL = rf"lower(regexp_replace({_trim('command')}, '{_WS}', ' ', 'g'))"
+_GRAMS = "case when len(x) >= 3 then list_distinct([substring(x, k, 3) for k in range(1, len(x) - 1)]) else [x] end"
+_REPEATS = f"""
+with h as (select distinct 0 as batch_no, {_trim('cwd')} as place, {_NORMAL} as x from commands where command is not null and cwd is not null),
+n as (select id, batch_no, {_trim('cwd')} as place, {_NORMAL} as x from new_commands where command is not null and cwd is not null),
+k as (select batch_no, place, {_GRAMS} as g from (select * from h union select distinct batch_no, place, x from n)),
+q as (select id, batch_no, place, {_GRAMS} as g from n)
+select distinct q.id from q join k on q.place = k.place and k.batch_no < q.batch_no
+where len(list_intersect(q.g, k.g)) * 4 >= 3 * (len(q.g) + len(k.g) - len(list_intersect(q.g, k.g)))
+"""
+
+
 def _literal(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
@@ -69,6 +81,7 @@ SQL = {
     "p4_found": _LINES + """, d as (select distinct * from r where content_hash is not null)
 select distinct a.content_hash as content_hash_a, b.content_hash as content_hash_b from d a join d b on a.place = b.place and a.w = b.w and a.content_hash < b.content_hash""",
     "p4_collapsed": _LINES + "select min(content_hash) as content_hash, count(distinct content_hash) as n_variants, count(*) as n_copies from r group by place, w",
+    "p7_found": _REPEATS,
     "p9_found": r"""
 with i as (select item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') as w from eval_items),
 iw as (select item_id, array_to_string(w[k:k + 11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as k from i)),
