@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,10 @@ _COMMON = sorted(set(COMMON_WORDS.split()))
 #: A character that is no white space.
 _SOLID = r"[^\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+_SPACE = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+_VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýœ"
+
 # Shapes of lines.
 _BULLET = r"^\s*(?:[-*+•‣◦·–]\s+|\(?\d{1,3}[.)]\s+|\(?[A-Za-z][.)]\s+|[-*]?\s*\[[ xX]\]\s)"
 _ENTRY = r"^\s*[\x21-\x7e]*[/\\.=:_][\x21-\x7e]*[^\s.!?:;,]$"
@@ -48,8 +55,9 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("bigint")
+def _kept(text: Column, others: str) -> Column:
+    """Characters left when runs of the others are taken out: counts a class without a list of its hits."""
+    return F.length(F.regexp_replace(text, others, "")).cast("bigint")
 
 
 def _chars(lines: Column, pattern: str) -> Column:
@@ -64,31 +72,32 @@ def quality_stats(df: DataFrame, key: str, text: str) -> DataFrame:
     counts as an empty one, which has zero everywhere; repeated rows come out each; an empty table
     gives no rows; columns other than the two are not read.
     """
+    t, low = F.col("_t"), F.col("_low")
+    # in layers: what several columns need is a column of the layer below, and so made once
     body = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     cut = body.select(
-        key, "_t",
+        key, "_t", F.lower("_t").alias("_low"),
         F.filter(F.split("_t", r"\r\n|\r|\n"), lambda line: F.rlike(line, F.lit(_SOLID))).alias("_lines"),
         F.filter(F.split(F.lower("_t"), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("_words"),
     )
-    t, lines, found = F.col("_t"), F.col("_lines"), F.col("_words")
-    n_words, n_lines = F.size(found).cast("bigint"), F.size(lines).cast("bigint")
-    solid = _count(t, _SOLID)
-    latin = _count(t, r"[A-Za-zÀ-ɏ]")
-    common = F.size(F.filter(found, lambda w: w.isin(_COMMON)))
-    return cut.select(
-        key,
-        F.length(t).cast("bigint").alias("n_chars"),
-        solid.alias("n_solid"),
-        n_words.alias("n_words"),
-        n_lines.alias("n_lines"),
-        _ratio(F.aggregate(found, F.lit(0), lambda n, w: n + F.length(w)), n_words).alias("mean_word"),
-        _ratio(_count(t, r"\p{L}"), solid).alias("letter_share"),
-        _ratio(solid - _count(t, r"[\p{L}\p{N}]"), solid).alias("symbol_share"),
-        _ratio(latin, _count(t, r"\p{L}")).alias("latin_share"),
-        _ratio(_count(F.lower(t), r"[aeiouyà-æè-ïò-öø-ýœ]"), latin).alias("vowel_share"),
-        _ratio(common, n_words).alias("common_share"),
-        _ratio(F.size(F.array_distinct(found)), n_words).alias("distinct_share"),
-        _ratio(n_words, _count(t, r"[,;]")).alias("words_per_comma"),
+    counted = cut.select(
+        key, "_lines",
+        F.length(t).cast("bigint").alias("n_chars"), _kept(t, _SPACE).alias("n_solid"), F.size("_words").cast("bigint").alias("n_words"), F.size("_lines").cast("bigint").alias("n_lines"),
+        _kept(low, r"[^\p{L}\p{N}]+").alias("_in_words"), _kept(t, r"[^\p{L}\p{N}]+").alias("_alnum"), _kept(t, r"\P{L}+").alias("_letters"), _kept(t, r"\P{IsLatin}+").alias("_latin"),
+        (F.length(low) - F.length(F.translate(low, _VOWELS, ""))).alias("_vowels"), (F.length(t) - F.length(F.translate(t, ",;", ""))).alias("_commas"),
+        F.size(F.filter("_words", lambda w: w.isin(_COMMON))).alias("_common"), F.size(F.array_distinct("_words")).alias("_distinct"),
+    )
+    lines, n_words, n_lines, solid = F.col("_lines"), F.col("n_words"), F.col("n_lines"), F.col("n_solid")
+    return counted.select(
+        key, "n_chars", "n_solid", "n_words", "n_lines",
+        _ratio(F.col("_in_words"), n_words).alias("mean_word"),
+        _ratio(F.col("_letters"), solid).alias("letter_share"),
+        _ratio(solid - F.col("_alnum"), solid).alias("symbol_share"),
+        _ratio(F.col("_latin"), F.col("_letters")).alias("latin_share"),
+        _ratio(F.col("_vowels"), F.col("_latin")).alias("vowel_share"),
+        _ratio(F.col("_common"), n_words).alias("common_share"),
+        _ratio(F.col("_distinct"), n_words).alias("distinct_share"),
+        _ratio(n_words, F.col("_commas")).alias("words_per_comma"),
         _ratio(F.size(F.filter(lines, lambda line: F.rlike(line, F.lit(_END)))), n_lines).alias("ended_lines"),
         _ratio(n_lines - F.size(F.array_distinct(lines)), n_lines).alias("repeated_lines"),
         _ratio(_chars(lines, _BULLET), solid).alias("bullet_share"),
@@ -124,4 +133,11 @@ def reason(limits: dict[str, float] | None = None) -> Column:
 
 def not_prose(df: DataFrame, key: str, text: str, limits: dict[str, float] | None = None) -> DataFrame:
     """(key, reason) of the texts that are not prose. Null, empty and blank texts are none of them."""
-    return quality_stats(df, key, text).select(key, reason(limits).alias("reason")).where("reason is not null")
+    kind = dict(df.dtypes)[key]
+
+    def failed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(batch.column(1).is_valid())
+
+    # a filter in the plan would be pushed below the statistics and work them all out a second time
+    return quality_stats(df, key, text).select(key, reason(limits).alias("reason")).mapInArrow(failed, f"`{key}` {kind}, reason string")

@@ -55,14 +55,14 @@ with b as (
     regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') as w
   from documents
 ), c as (
-  select *, {_count('t', quality._SOLID)} as solid, {_count('t', '[A-Za-zÀ-ɏ]')} as latin, {_count('t', r'\p{L}')} as letters, len(w) as nw, len(lines) as nl from b
+  select *, {_count('t', quality._SOLID)} as solid, {_count('t', r'\p{Latin}')} as latin, {_count('t', r'\p{L}')} as letters, len(w) as nw, len(lines) as nl from b
 )
 select doc_id, len(t) as n_chars, solid as n_solid, nw as n_words, nl as n_lines,
   {_ratio('list_sum([len(x) for x in w])', 'nw')} as mean_word,
   {_ratio('letters', 'solid')} as letter_share,
   {_ratio('solid - ' + _count('t', r'[\p{L}\p{N}]'), 'solid')} as symbol_share,
   {_ratio('latin', 'letters')} as latin_share,
-  {_ratio(_count('lower(t)', '[aeiouyà-æè-ïò-öø-ýœ]'), 'latin')} as vowel_share,
+  {_ratio(_count('lower(t)', '[' + quality._VOWELS + ']'), 'latin')} as vowel_share,
   {_ratio(f'len([x for x in w if x in ({_COMMON})])', 'nw')} as common_share,
   {_ratio('len(list_distinct(w))', 'nw')} as distinct_share,
   {_ratio('nw', _count('t', '[,;]'))} as words_per_comma,
