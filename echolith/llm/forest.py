@@ -236,8 +236,8 @@ class HistoryForest:
         batch are not compared; repeated rows all come out or none; an empty batch or history gives no rows.
         """
         fields = "rec bigint, place_h bigint, place string, text string, run int"
-        rows = df.where(F.col(text).isNotNull() & F.col(place).isNotNull()).select(key, F.regexp_replace(place, _ENDS, "").alias("place"), normalized(F.col(text)).alias("text"), run.cast("int").alias("run"))
-        rows = rows.select(key, "place", "text", "run", F.xxhash64("place", "text").alias("rec"))
+        rows = df.where(F.col(text).isNotNull() & F.col(place).isNotNull()).select(F.col(key).alias("_key"), F.regexp_replace(place, _ENDS, "").alias("place"), normalized(F.col(text)).alias("text"), run.cast("int").alias("run"))
+        rows = rows.select("_key", "place", "text", "run", F.xxhash64("place", "text").alias("rec"))
         asked = rows.select("rec", F.xxhash64("place").alias("place_h"), "place", "text", "run").distinct()
         known = self._all("texts", fields)
         old = known.groupBy("rec", "place", "text").agg(F.min("run").alias("since"))
@@ -251,7 +251,7 @@ class HistoryForest:
         undecided = pairs.where("more").select(F.col("q").alias("rec"), F.col("q_run").alias("run")).distinct().join(near, ["rec", "run"], "left_anti")
         if undecided.limit(1).count():
             hits = hits.unionByName(self._verified(self._all_pairs(rest.join(undecided, ["rec", "run"], "left_semi")), rest, known))
-        return rows.join(hits, ["rec", "run"], "left_semi").select(key)
+        return rows.join(hits, ["rec", "run"], "left_semi").select(F.col("_key").alias(key))
 
     def _all_pairs(self, asked: DataFrame) -> DataFrame:
         """All entries under the prefixes of these texts; entries of one prefix are spread over ``salts`` tasks."""
