@@ -17,9 +17,11 @@ def events(parsed: DataFrame, now_ms: int, session_id: str, product: str = filte
     per_file = Window.partitionBy("file")  # a history file is read whole by one task already
     place = F.row_number().over(per_file.orderBy("line"))
     at = F.lit(now_ms) - (F.count("*").over(per_file) - place + 1) * 1000
-    return kept.select(
-        F.xxhash64("file", "line").alias("ingest_seq"), F.concat(F.lit("import-"), F.sha2(F.concat_ws("\n", "file", F.col("line").cast("string")), 256)).alias("command_id"), F.lit(session_id).alias("session_id"), "command",
-        F.lit(IMPORT_CWD).alias("cwd"), F.lit(None).cast("int").alias("exit_code"), F.lit(None).cast("bigint").alias("duration_ms"), F.lit(None).cast("bigint").alias("started_at_ms"), at.cast("bigint").alias("completed_at_ms"),
+    # files in the order of their names, lines within them
+    turns = kept.select("file").distinct().withColumn("_turn", F.row_number().over(Window.orderBy("file")))
+    return kept.withColumn("_at", at).join(turns, "file").select(
+        (F.shiftleft(F.col("_turn").cast("bigint"), 40) + F.col("line")).alias("ingest_seq"), F.concat(F.lit("import-"), F.sha2(F.concat_ws("\n", "file", F.col("line").cast("string")), 256)).alias("command_id"), F.lit(session_id).alias("session_id"), "command",
+        F.lit(IMPORT_CWD).alias("cwd"), F.lit(None).cast("int").alias("exit_code"), F.lit(None).cast("bigint").alias("duration_ms"), F.lit(None).cast("bigint").alias("started_at_ms"), F.col("_at").cast("bigint").alias("completed_at_ms"),
     )
 
 
