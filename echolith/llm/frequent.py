@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ class SketchShape:
     """
 
     levels: tuple[int, ...] = (8, 12, 16, 20, 24, 28, 32)
-    depth: int = 5
+    depth: int = 7
     width: int = 4096
     seed: int = 7
 
@@ -72,29 +72,37 @@ class Sketch:
     def __init__(self, shape: SketchShape, table: np.ndarray):
         self.shape, self.table = shape, table
 
-    def estimate(self, level: int, prefix: np.ndarray) -> np.ndarray:
+    def estimates(self, level: int, prefix: np.ndarray) -> np.ndarray:
+        """One estimate for each row of the sketch, in ascending order."""
         rows = []
         for row in range(self.shape.depth):
             at, sign = place(self.shape, level, row, prefix)
             rows.append(self.table[level, row][at] * sign)
-        return np.median(np.stack(rows), axis=0)
+        return np.sort(np.stack(rows), axis=0)
+
+    def estimate(self, level: int, prefix: np.ndarray) -> np.ndarray:
+        return np.median(self.estimates(level, prefix), axis=0)
 
     def slack(self, level: int) -> float:
-        """Four standard errors of one estimate: the second moment is read off the sketch itself."""
+        """Four standard errors of one estimate, from the middle of the counters: the few that heavy values sit in don't widen it."""
         if (1 << self.shape.levels[level]) <= self.shape.width:
             return 0.0
-        moment = np.median((self.table[level].astype(float) ** 2).sum(axis=1))
-        return 4 * float(np.sqrt(moment / self.shape.width))
+        return 4 * float(np.median(np.median(np.abs(self.table[level]), axis=1))) / 0.6745
+
+    def heavy_prefixes(self, at_least: float, most: int) -> list[int] | None:
+        """Prefixes of the last level that may hold ``at_least`` rows, by descent through heavy ones only.
 
-    def heavy_prefixes(self, at_least: float) -> list[int]:
-        """Prefixes of the last level that may hold ``at_least`` rows, by descent through heavy ones only."""
-        alive = np.arange(1 << self.shape.levels[0], dtype=np.uint64)
-        before = self.shape.levels[0]
+        A prefix goes on if three rows of the sketch say so: a true one is lost only if heavy values
+        push it down in all but two rows. None if more than ``most`` go on, so that the sketch is too narrow.
+        """
+        alive, before = np.zeros(1, np.uint64), 0
         for level, bits in enumerate(self.shape.levels):
-            if bits > before:
-                alive = ((alive[:, None] << np.uint64(bits - before)) | np.arange(1 << (bits - before), dtype=np.uint64)[None, :]).ravel()
-                before = bits
-            alive = alive[self.estimate(level, alive) >= at_least - self.slack(level)]
+            step = np.arange(1 << (bits - before), dtype=np.uint64)
+            alive = ((alive[:, None] << np.uint64(bits - before)) | step[None, :]).ravel()
+            before = bits
+            alive = alive[self.estimates(level, alive)[-min(3, self.shape.depth)] >= at_least - self.slack(level)]
+            if len(alive) > most:
+                return None
         return [int(p) for p in alive]
 
 
@@ -112,7 +120,7 @@ def frequent_values(df: DataFrame, column: str, share: float = 0.01, shape: Sket
 
     First scan: a count-sketch with signed hashes for each level of hash prefixes. Descent through
     heavy prefixes, with the sketch's own error as slack, leaves at most a few times 1/share
-    candidate prefixes of 32 bits. Second scan: rows under a candidate prefix are counted
+    candidate prefixes of 32 bits; a sketch too narrow for the share is made anew, four times as wide. Second scan: rows under a candidate prefix are counted
     exactly, with a partial count before the shuffle, so ``n_rows`` is no estimate and nothing below
     the share comes out. ``est_rows`` is what the sketch alone says.
 
@@ -120,10 +128,13 @@ def frequent_values(df: DataFrame, column: str, share: float = 0.01, shape: Sket
     table gives no rows; values equal in count all come out; other columns are not read.
     """
     shape = shape or SketchShape()
-    sketch = sketch_column(df, column, shape)
     total = df.agg(F.count("*")).first()[0]
-    least = max(1, -(-total * share // 1)) if total else 1
-    prefixes = sketch.heavy_prefixes(least) if total else []
+    sketch, prefixes = sketch_column(df, column, shape), None
+    while prefixes is None:
+        prefixes = sketch.heavy_prefixes(max(1.0, total * share), max(4_096, int(64 / share)))
+        if prefixes is None:  # too narrow for this share; each round is another scan
+            shape = replace(shape, width=4 * shape.width)
+            sketch = sketch_column(df, column, shape)
     bits = shape.levels[-1]
     key = F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
     counted = (

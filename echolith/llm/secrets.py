@@ -34,18 +34,28 @@ _ABOUT_ID = re.compile(r"(?i)(?<!key)(?<!access)[_\-]id$")
 _URL = re.compile(r"(?i)\b[a-z][a-z0-9+.\-]*://[^\s/:@'\"]*:(?P<v>[^\s/@'\"]+)@")
 _URL_ALONE = re.compile(r"(?i)\b[a-z][a-z0-9+.\-]*://(?P<v>[^\s/:@'\"]{16,})@")
 _USER = re.compile(r"(?<!\S)(?:-u|--user|--proxy-user|-U|--userpwd)(?:[ \t]+|=|(?<=-u)|(?<=-U))(?P<q>[\"']?)(?P<user>[^\s:%\"'/]+)[:%](?P<v>[^\"'\n]+?|[^\s\"']+)(?=(?P=q)(?:\s|$|[;|&)]))", re.I)
-_DASH_P = re.compile(r"(?i)\b(?:mysql\w*|mariadb\w*)\b[^|;&\n]*?[ \t]-p(?P<open>[\"']?)(?=[^\s\-])|\bsshpass[ \t]+-p[ \t]*(?P<open2>[\"']?)|\blogin\b[^|;&\n]*?[ \t]-p[ \t=]+(?P<open3>[\"']?)")
+# Tools whose short options take a password.
+_SHORT_OPTIONS = {
+    r"mysql\w*|mariadb\w*": r"-p(?=[^\s\-])",
+    r"sshpass": r"-p[ \t]*",
+    r"login|mongo\w*|cqlsh|influx|az|oc|cf|rabbitmqadmin": r"-p[ \t=]+",
+    r"redis-cli|valkey-cli": r"-a[ \t=]+",
+    r"ldap\w+": r"-w[ \t=]+",
+    r"zip|unzip|7z|sqlcmd|bcp|mosquitto_\w+": r"-P[ \t=]*",
+    r"lftp": r"-u[ \t]+[^\s,]+,",
+}
+_DASH_P = [re.compile(rf"(?i:\b(?:{tools}))\b(?!\s*[:=])[^|;&\n]*?[ \t]{option}(?P<open>[\"']?)") for tools, option in _SHORT_OPTIONS.items()]
 _AUTH = re.compile(r"(?i)\bauthorization[ \t]*[:=][ \t]*(?:bearer|token|basic|digest|apikey|key)[ \t]+(?P<v>[^\s\"']+)")
 _PIPED = re.compile(r"(?i)(?:\becho|\bprintf)[ \t]+(?:-n[ \t]+|['\"]?%s(?:\\n)?['\"]?[ \t]+)*(?P<q>[\"']?)(?P<v>[^\s\"'|]+)(?P=q)[ \t]*\|[^|\n]*?(?:--password-stdin|--with-token|--token-stdin|\blogin\b)")
 _BARE = re.compile(r"[^\s\"'`|;&<>()]+")
 _LONG = re.compile(r"(?<![A-Za-z0-9+/_=.\-])[A-Za-z0-9+/_\-]{24,}={0,2}(?![A-Za-z0-9+/_\-])")
-_SCREEN = re.compile(rf"(?i){_STRONG}|{_WEAK}|-----BEGIN|://[^\s/]*@|[ \t](?:-u|--user|--proxy-user|--userpwd)\b|[ \t]-[up][^\s]|gh[pousr]_|glpat-|xox[abprs]-|AKIA|ASIA|AIza|_live_|_test_|sk-|npm_|hv[sbr]\.|pypi-|eyJ|[A-Za-z0-9+/_\-]{{24}}")
+_SCREEN = re.compile(rf"(?i){_STRONG}|{_WEAK}|-----BEGIN|://[^\s/]*@|[ \t](?:-u|--user|--proxy-user|--userpwd)\b|[ \t]-[upPaw]|gh[pousr]_|glpat-|xox[abprs]-|AKIA|ASIA|AIza|_live_|_test_|sk-|npm_|hv[sbr]\.|pypi-|eyJ|[A-Za-z0-9+/_\-]{{24}}")
 
 _PLACEHOLDER = re.compile(
     r"(?i)^(?:(.)\1*|\*+|x+|\.+|-+|_+|null|none|nil|undefined|true|false|yes|no|on|off|empty|stdin|prompt|ask|example|sample|dummy|test|todo|tbd|changeme|change[_\-]?me|redacted|masked|hidden|secret|password|passwd|pass|token|key"
     r"|your[_\-].*|my[_\-]?(?:password|token|key|secret)|insert[_\-].*|replace[_\-].*|\[.*\]|<.*>|\{.*\}|%\w+%)$"
 )
-_REFERENCE = re.compile(r"\$|\{\{|\}\}|`|\*{3,}|^(?:env|file|fd|stdin|keyring|vault|ref|arn|ssm|op):|^@|^~?/|^\.{1,2}/|^[a-z]+://")
+_REFERENCE = re.compile(r"\$|\{\{|\}\}|`|\*{3,}|^(?:env|file|fd|stdin|keyring|vault|ref|arn|ssm|op):|^@|^~/|^\.{1,2}/|^[a-z]+://")
 _UUID = re.compile(r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$")
 _HEX = re.compile(r"(?i)^(?:0x)?[0-9a-f]+$")
 _PATHLIKE = re.compile(r"^[\w.\-]+(?:/[\w.\-]+)*\.[a-z]{1,5}$")
@@ -71,8 +81,13 @@ def looks_random(value: str, share: float) -> bool:
     return entropy(value) >= share * math.log2(max(2, min(len(value), alphabet(value))))
 
 
+def _is_path(value: str) -> bool:
+    """Begins at the root and does not look drawn at random."""
+    return value.startswith("/") and not (len(value) >= 16 and re.search(r"[0-9]", value) and re.search(r"[A-Z]", value) and re.search(r"[a-z]", value) and looks_random(value, 0.85))
+
+
 def _plausible(value: str) -> bool:
-    return bool(value) and not _PLACEHOLDER.match(value) and not _REFERENCE.search(value)
+    return bool(value) and not _PLACEHOLDER.match(value) and not _REFERENCE.search(value) and not _is_path(value)
 
 
 def _believed(name: str, value: str) -> bool:
@@ -95,6 +110,13 @@ def _value(text: str, at: int, quote: str) -> tuple[int, int] | None:
     return m.span() if m else None
 
 
+def _without_closers(value: str) -> str:
+    """Without a comma or bracket at the end that belongs to what is around the value."""
+    while value and (value[-1] == "," or any(value[-1] == c and o not in value for o, c in ("{}", "[]"))):
+        value = value[:-1]
+    return value
+
+
 def _free(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """Long tokens that no name introduces: three kinds of characters and nearly the most entropy there can be."""
     for m in _LONG.finditer(text):
@@ -136,11 +158,11 @@ def find_secrets(text: str | None) -> list[tuple[int, int]]:
     for m in _USER.finditer(text):
         if _plausible(m["v"]) and len(m["v"]) >= 4 and not m["v"].isdigit() and "/" not in m["v"][:1]:
             add(*m.span("v"))
-    for m in _DASH_P.finditer(text):
-        quote = m["open"] or m["open2"] or m["open3"] or ""
-        span = _value(text, m.end(), quote)
-        if span and _plausible(text[slice(*span)]) and span[1] - span[0] >= 4:
-            add(*span)
+    for pattern in _DASH_P:
+        for m in pattern.finditer(text):
+            span = _value(text, m.end(), m["open"])
+            if span and _plausible(text[slice(*span)]) and span[1] - span[0] >= 4:
+                add(*span)
     for pattern in (_SET, _FLAG, _NAME):
         at = 0
         while m := pattern.search(text, at):
@@ -156,7 +178,7 @@ def find_secrets(text: str | None) -> list[tuple[int, int]]:
             if not m["open"] and text[m.start() - 1 : m.start()] in ("?", "&"):
                 end = start + len(text[start:end].split("&")[0])
             if not m["open"]:
-                end -= len(text[start:end]) - len(text[start:end].rstrip(",}])"))
+                end = start + len(_without_closers(text[start:end]))
             if _believed(m["name"], text[start:end]):
                 add(start, end)
     for span in list(_free(text, closed)):
