@@ -13,8 +13,17 @@ from echolith.functions.formats import format_confidence
 LEAST_CONFIDENCE = 0.15
 
 
+def prepared(entries: DataFrame) -> DataFrame:
+    """With lower-case texts, words and trigrams as columns: made once for each entry, however many queries use them."""
+    low = entries.withColumns({"_aliases": F.transform(F.coalesce("aliases", F.array().cast("array<string>")), F.lower), "_command": F.lower("command")})
+    return low.withColumns({
+        "_alias_words": F.transform("_aliases", text.tokens), "_command_words": text.tokens("_command"), "_description_words": text.tokens(F.lower("description")),
+        "_grams": F.concat(F.transform("_aliases", text.trigrams), F.array(text.trigrams("_command"))),
+    })
+
+
 def score_entry(query: str, clamp: bool = False) -> Column:
-    """How well an entry answers a query; columns command, description, category, topic, aliases.
+    """How well an entry, with the columns of ``prepared``, answers a query.
 
     The best of: an alias (1 if equal, its word overlap, 0.85 if one contains the other), the command
     (0.95, 0.80 or 0.75 of the overlap), 0.70 of the description's overlap, 0.75 of the best trigram
@@ -25,27 +34,24 @@ def score_entry(query: str, clamp: bool = False) -> Column:
     words = q.split()
     if not words:
         return F.lit(0.0)
-    low = lambda c: F.lower(F.col(c))
     contains = lambda other: F.contains(F.lit(q), other) | F.contains(other, F.lit(q))
-    aliases = F.transform(F.coalesce(F.col("aliases"), F.array().cast("array<string>")), F.lower)
     best_of = lambda arr: F.coalesce(F.array_max(arr), F.lit(0.0))
-    by_alias = best_of(F.transform(aliases, lambda a: F.greatest(text.word_overlap(words, text.tokens(a)), F.when(contains(a), 0.85).otherwise(0.0))))
-    by_command = (
-        F.when(low("command") == q, 0.95).when(contains(low("command")), 0.80).otherwise(text.word_overlap(words, text.tokens(low("command"))) * 0.75)
-    )
-    by_description = text.word_overlap(words, text.tokens(low("description"))) * 0.70
+    by_alias = F.greatest(best_of(F.transform("_alias_words", lambda w: text.word_overlap(words, w))), F.when(F.exists("_aliases", contains), 0.85).otherwise(0.0))
+    by_command = F.when(F.col("_command") == q, 0.95).when(contains(F.col("_command")), 0.80).otherwise(text.word_overlap(words, F.col("_command_words")) * 0.75)
+    by_description = text.word_overlap(words, F.col("_description_words")) * 0.70
     grams = text.trigrams(F.lit(q))
-    by_gram = F.greatest(best_of(F.transform(aliases, lambda a: text.trigram_jaccard(grams, text.trigrams(a)))), text.trigram_jaccard(grams, text.trigrams(low("command")))) * 0.75
+    by_gram = best_of(F.transform("_grams", lambda g: text.trigram_jaccard(grams, g))) * 0.75
     best = F.greatest(by_alias, by_command, by_description, by_gram)
-    named = low("topic").isin(words) | low("category").isin(words)
-    score = F.when(F.array_contains(aliases, q), 1.0).when(named, F.least(F.lit(1.0), best + 0.05)).otherwise(best)
+    named = F.lower("topic").isin(words) | F.lower("category").isin(words)
+    score = F.when(F.array_contains("_aliases", q), 1.0).when(named, F.least(F.lit(1.0), best + 0.05)).otherwise(best)
     return F.least(F.lit(1.0), score) if clamp else score
 
 
 def ask(entries: DataFrame, query: str, limit: int = 5, least: float = LEAST_CONFIDENCE) -> DataFrame:
     """The entries of at least this confidence, best first; equals in the order they were loaded."""
-    scored = entries.withColumn("confidence", score_entry(query)).where(F.col("confidence") >= least)
-    return scored.orderBy(F.desc("confidence"), "ordinal").limit(limit).select(
+    # the limit comes before the threshold: the same rows, and no filter that scores every entry twice
+    best = prepared(entries).withColumn("confidence", score_entry(query)).orderBy(F.desc("confidence"), "ordinal").limit(limit)
+    return best.where(F.col("confidence") >= least).select(
         "ordinal", "command", "description", "category", "topic", "confidence", format_confidence("confidence").alias("confidence_text"), F.lit("Knowledge Base").alias("source")
     )
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echolith.manifest import Manifest
 from echolith.runtime import hadoop_path
 
 _TRIM = r"(?U)^\s+|\s+$"
@@ -40,29 +39,11 @@ class MessageStore:
     def __init__(self, spark: SparkSession, path: str, identifier: str, order: str, period: Column, payload: list[str]):
         self.spark, self.path, self.identifier, self.order, self.period = spark, path.rstrip("/"), identifier, order, period
         self.payload = [c for c in payload if c != order]
+        self._state = Manifest(spark, self.path, {"periods": {}, "index": []})
 
-    # manifest ---------------------------------------------------------------------------------
     def manifest(self) -> dict:
         """{version, periods: {period: version that wrote it}, index: [versions]}; the last one committed."""
-        fs, root = hadoop_path(self.spark, f"{self.path}/_manifests")
-        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        last = max((int(n) for n in names if n.isdigit()), default=None)
-        if last is None:
-            return {"version": 0, "periods": {}, "index": []}
-        stream = fs.open(hadoop_path(self.spark, f"{self.path}/_manifests/{last}")[1])
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def _commit(self, manifest: dict) -> None:
-        draft, final = (f"{self.path}/_manifests/{name}" for name in (f"_{manifest['version']}.tmp", manifest["version"]))
-        fs, draft_path = hadoop_path(self.spark, draft)
-        stream = fs.create(draft_path, True)
-        stream.write(bytearray(json.dumps(manifest).encode()))
-        stream.close()
-        if not fs.rename(draft_path, hadoop_path(self.spark, final)[1]):
-            raise RuntimeError(f"version {manifest['version']} was committed by another writer")
+        return self._state.read()
 
     # reading ----------------------------------------------------------------------------------
     def _fields(self) -> list[str]:
@@ -97,6 +78,9 @@ class MessageStore:
         """Take in a batch; the manifest of the new version."""
         old = self.manifest()
         version = old["version"] + 1
+        clash = {"_key", "_period", "n_deliveries"} & set(self._fields())
+        if clash:
+            raise ValueError(f"columns of the store itself: {', '.join(sorted(clash))}")
         incoming = batch.select(message_key(self.identifier).alias("_key"), *self._fields(), F.coalesce(self.period.cast("string"), F.lit("none")).alias("_period"), F.lit(1).cast("bigint").alias("n_deliveries"))
         self._schema = incoming.schema
         keyed, alone = incoming.where("_key is not null"), incoming.where("_key is null")
@@ -122,5 +106,4 @@ class MessageStore:
         # a touched period that lost all its rows to winners elsewhere has no folder and leaves the manifest
         periods = {p: v for p, v in old["periods"].items() if p not in touched} | {p: version for p in fresh}
         new = {"version": version, "periods": periods, "index": [*old["index"], version]}
-        self._commit(new)
-        return new
+        return self._state.commit(new)

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from echolith.functions import embedding, filters, formats, text
 from echolith.operators import hybrid, knowledge, lexical, stats, vector
+from echolith.operators.postings import TrigramIndex
 from echolith.plans import views
 from echolith.plans.views import HISTORY, KNOWLEDGE, NAMED, normal, tokens
+from echolith.runtime import fresh_path
 from echolith.sources.packs import Knowledge
 from echolith.sources.tables import table
 
@@ -300,3 +302,12 @@ def pinned_first(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("completed_at_ms"), "content_hash")))
     pins = rows.where("exit_code <> 0").select("command", "cwd")
     return stats.pinned_first(rows, pins, "position").select("content_hash", "position", "pinned")
+
+
+@query(f"with {HISTORY} select content_hash from hist where (contains(lower(command), 'docker') or contains(lower(cwd), 'docker')) and (contains(lower(command), 'logs') or contains(lower(cwd), 'logs'))")
+def postings_search(spark: SparkSession, sf: str) -> DataFrame:
+    """By way of the trigram index, built over all of history."""
+    index = TrigramIndex(spark, fresh_path(spark, "postings"))
+    rows = views.history(spark, sf)
+    index.add(rows)
+    return index.search(rows, "docker logs").select("content_hash")
