@@ -62,11 +62,10 @@ def explain(entries: DataFrame, command: str) -> DataFrame:
     c = F.lower("command")
     rank = F.when(c == q, 0).when(F.startswith(c, F.lit(q)), 1).when(F.contains(c, F.lit(q)) | F.contains(F.lit(q), c), 2)
     ranked = entries.withColumn("_rank", rank).where("_rank is not null")
-    prefixes = ranked.agg(F.count_if(F.col("_rank") <= 1).alias("_prefixes"))
-    # one row of counts; a beginning counts as such only if it is the only one, else it is just contained
-    rows = ranked.join(F.broadcast(prefixes), F.lit(True))
-    order = F.when((F.col("_rank") == 1) & (F.col("_prefixes") > 1), 2).otherwise(F.col("_rank"))
-    return rows.withColumn("_rank", order).orderBy("_rank", "ordinal").limit(1).select(*[x for x in entries.columns])
+    prefixes = ranked.agg(F.count_if(F.col("_rank") <= 1)).scalar()
+    # a beginning counts as such only if it is the only one, else it is just contained
+    order = F.when((F.col("_rank") == 1) & (prefixes > 1), 2).otherwise(F.col("_rank"))
+    return ranked.withColumn("_rank", order).orderBy("_rank", "ordinal").limit(1).select(*[x for x in entries.columns])
 
 
 def learn(entries: DataFrame, topic: str, topics: DataFrame | None = None) -> DataFrame:
@@ -81,8 +80,8 @@ def learn(entries: DataFrame, topic: str, topics: DataFrame | None = None) -> Da
     if topics is None:
         described = out.withColumn("description", F.lit(f"{topic} commands"))
     else:
-        known = topics.where(F.col("topic") == q).select(F.col("description").alias("_d")).agg(F.first("_d").alias("_d"))
-        described = out.join(F.broadcast(known), F.lit(True), "left").withColumn("description", F.coalesce("_d", F.lit(f"{topic} commands")))
+        known = topics.where(F.col("topic") == q).agg(F.first("description")).scalar()
+        described = out.withColumn("description", F.coalesce(known, F.lit(f"{topic} commands")))
     return described.select(F.lit(q).alias("topic"), "description", "categories")
 
 
@@ -107,11 +106,10 @@ def pack_sizes(entries: DataFrame, by: str = "source") -> DataFrame:
 def supplement(results: DataFrame, answers: DataFrame) -> DataFrame:
     """Answers to show beside search results: those of 0.5 or more if nothing matched exactly or the best score
     is below 0.5; the first three, whatever their confidence, if there is no result at all."""
-    state = results.agg(F.count("*").alias("_n"), F.count_if(F.col("match_kind").isin("exact", "prefix")).alias("_strong"), F.coalesce(F.max("score"), F.lit(0.0)).alias("_top"))
+    n = results.agg(F.count("*")).scalar()
+    weak = results.agg((F.count_if(F.col("match_kind").isin("exact", "prefix")) == 0) | (F.coalesce(F.max("score"), F.lit(0.0)) < 0.5)).scalar()
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("confidence"), "ordinal"))
-    rows = answers.withColumn("_place", place).join(F.broadcast(state), F.lit(True))
-    weak = (F.col("_strong") == 0) | (F.col("_top") < 0.5)
-    return rows.where(F.when(F.col("_n") == 0, F.col("_place") <= 3).otherwise(weak & (F.col("confidence") >= 0.5))).select(*answers.columns)
+    return answers.withColumn("_place", place).where(F.when(n == 0, F.col("_place") <= 3).otherwise(weak & (F.col("confidence") >= 0.5))).drop("_place")
 
 
 def union_entries(frames: list[DataFrame]) -> DataFrame:

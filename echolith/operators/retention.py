@@ -101,8 +101,8 @@ def cleanup(history: DataFrame, mode: str, *, now_ms: int = 0, days: int = 365,
 
 def removal(before: DataFrame, after: DataFrame) -> DataFrame:
     """(removed, remaining)."""
-    counts = after.agg(F.count("*").alias("remaining")).join(F.broadcast(before.agg(F.count("*").alias("_n"))), F.lit(True))
-    return counts.select(F.greatest(F.col("_n") - F.col("remaining"), F.lit(0)).cast("bigint").alias("removed"), "remaining")
+    n = before.agg(F.count("*")).scalar()
+    return after.agg(F.count("*").alias("remaining")).select(F.greatest(n - F.col("remaining"), F.lit(0)).cast("bigint").alias("removed"), "remaining")
 
 
 def log_entry(stats: DataFrame, mode: str, now_ms: int) -> DataFrame:

@@ -23,7 +23,7 @@ def usage_stats(history: DataFrame, sessions: DataFrame, approximate: bool = Fal
         F.count("*").alias("total_commands"), unique.alias("unique_commands"), F.count_if(F.col("run_count") > 1).alias("deduplicated_commands"),
         F.coalesce(F.sum(F.when(F.col("run_count") > 1, F.col("run_count") - 1)), F.lit(0)).cast("bigint").alias("saved_runs"),
     )
-    return mine.join(F.broadcast(sessions.agg(F.count("*").alias("total_sessions"))), F.lit(True))
+    return mine.withColumn("total_sessions", sessions.agg(F.count("*")).scalar())
 
 
 def most_used(history: DataFrame, n: int = 10) -> DataFrame:
@@ -34,7 +34,7 @@ def db_counts(history: DataFrame, sessions: DataFrame, events: DataFrame) -> Dat
     """One row of table sizes; the queue is what was ever taken in."""
     out = history.agg(F.count("*").alias("commands"), F.coalesce(F.sum("run_count"), F.lit(0)).cast("bigint").alias("runs"))
     for name, rows in (("sessions", sessions), ("queued", events)):
-        out = out.join(F.broadcast(rows.agg(F.count("*").alias(name))), F.lit(True))
+        out = out.withColumn(name, rows.agg(F.count("*")).scalar())
     return out.withColumn("fts_bytes", F.col("commands") * 200)
 
 
