@@ -83,7 +83,7 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (centres**2).sum(axis=1)[None, :] - 2 * (x @ centres.T)
 
 
-def visit(d1: np.ndarray, d2: np.ndarray, counts: dict[int, int], k: int, least_cells: int, least_entries: int) -> list[int]:
+def visit(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, k: int, least_cells: int, least_entries: int) -> list[int]:
     """Cells by the sum of their two distances, nearest first: a heap over pairs of ranks, each pushed by its
     left or upper neighbour. Empty cells are passed over."""
     o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
@@ -93,7 +93,7 @@ def visit(d1: np.ndarray, d2: np.ndarray, counts: dict[int, int], k: int, least_
         _, i, j = heapq.heappop(heap)
         limit -= 1
         cell = int(o1[i]) * k + int(o2[j])
-        if n := counts.get(cell, 0):
+        if n := int(counts[cell]):
             cells.append(cell)
             entries += n
         for a, b in ((i + 1, j), (i, j + 1)):
@@ -176,8 +176,10 @@ def neighbours(df: DataFrame, key: str, blob: str, at: str, k: int = 5, floor: f
                 cells = _distances(v[:, :half], first).argmin(axis=1) * size + _distances(v[:, half:], second).argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int64))], names=["cell"])
 
-    filled = entries.select("code").mapInArrow(assign, "cell bigint").groupBy("cell").count().collect()  # at most size * size rows
-    counts = spark.sparkContext.broadcast({r[0]: r[1] for r in filled})
+    filled = entries.select("code").mapInArrow(assign, "cell bigint").groupBy("cell").agg(F.count("*").alias("n")).toArrow()  # at most size * size rows
+    per_cell = np.zeros(size * size, np.int64)
+    per_cell[filled["cell"].to_numpy()] = filled["n"].to_numpy()
+    counts = spark.sparkContext.broadcast(per_cell)
     block = shape.block
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,10 +195,10 @@ def neighbours(df: DataFrame, key: str, blob: str, at: str, k: int = 5, floor: f
                 at, cells, blocks, kinds = [], [], [], []
                 for i in range(part.num_rows):
                     own = int(d1[i].argmin()) * size + int(d2[i].argmin())
-                    own_block = int(hashes[i]) % -(-known.get(own, 1) // block)
+                    own_block = int(hashes[i]) % max(1, -(-int(known[own]) // block))
                     visited = visit(d1[i], d2[i], known, size, shape.least_cells, shape.least_entries)
                     for cell in dict.fromkeys([own, *visited]):
-                        for b in range(-(-known.get(cell, 1) // block)):
+                        for b in range(max(1, -(-int(known[cell]) // block))):
                             at.append(i)
                             cells.append(cell)
                             blocks.append(b)

@@ -77,7 +77,7 @@ def test_few_and_none(spark):
 def test_cells_come_by_summed_distance():
     rng = np.random.default_rng(4)
     d1, d2 = rng.random(8), rng.random(8)
-    every = {c: 1 for c in range(64)}
+    every = np.ones(64, int)
     cells = visit(d1, d2, every, 8, 10, 1)
     assert cells == sorted(range(64), key=lambda c: d1[c // 8] + d2[c % 8])[:10]
-    assert visit(d1, d2, {cells[3]: 5}, 8, 1, 1) == [cells[3]]
+    assert visit(d1, d2, 5 * (np.arange(64) == cells[3]), 8, 1, 1) == [cells[3]]
