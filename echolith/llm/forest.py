@@ -118,7 +118,8 @@ class HistoryForest:
     """What was accepted, as sorted runs of labels, and the texts to verify candidates with.
 
     ``append`` writes the run of a batch; the runs before it are not touched. ``match`` finds, for
-    rows of new batches, those that repeat a row of a lower batch number.
+    rows of new batches, those that repeat a row of a lower batch number. ``merge_runs`` makes one run
+    of many.
     """
 
     def __init__(self, spark: SparkSession, path: str, shape: ForestShape | None = None):
@@ -141,6 +142,15 @@ class HistoryForest:
         signed.repartitionByRange("tree", "place_h", "label").sortWithinPartitions("tree", "place_h", "label").write.parquet(f"{self.path}/labels/{name}")
         self.runs.append(name)
 
+    def merge_runs(self, name: str) -> None:
+        """All runs as one sorted run. Readers that began before keep the old files, which are not deleted."""
+        fields = "rec bigint, place_h bigint, place string, text string, run int"
+        texts = self._all("texts", fields).groupBy("rec", "place_h", "place", "text").agg(F.min("run").alias("run"))
+        texts.write.parquet(f"{self.path}/texts/{name}")
+        signed = self._all("labels", _SIGNED).groupBy("tree", "place_h", "label", "rec").agg(F.min("run").alias("run"))
+        signed.select("tree", "place_h", "label", "rec", "run").repartitionByRange("tree", "place_h", "label").sortWithinPartitions("tree", "place_h", "label").write.parquet(f"{self.path}/labels/{name}")
+        self.runs = [name]
+
     def _all(self, kind: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{kind}/{name}" for name in self.runs])
 
