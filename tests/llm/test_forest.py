@@ -69,9 +69,9 @@ def test_merged_runs_give_the_same(spark, rows):
     lines = random_lines(80, 4)
     frame = lambda data: spark.createDataFrame(data, SCHEMA)
     f = HistoryForest(spark, fresh_path(spark, "f"))
-    for b in range(4):
-        f.append(HistoryForest.records(frame([(f"r{i}", b, t, "/", 0) for i, t in enumerate(lines[b::5])]), "text", "place", F.col("batch")), f"b{b}")
-    asked = frame([(f"n{i}", 4, t, "/", 0) for i, t in enumerate(lines[4::5])])
+    for b in range(6):
+        f.append(HistoryForest.records(frame([(f"r{i}", b, t, "/", 0) for i, t in enumerate(lines[b::7])]), "text", "place", F.col("batch")), f"b{b}")
+    asked = frame([(f"n{i}", 6, t, "/", 0) for i, t in enumerate(lines[6::7])])
     before = rows(f.match(asked, "rec", "text", "place", F.col("batch")))
     f.merge_runs("all")
     assert f.runs == ["all"] and before and rows(f.match(asked, "rec", "text", "place", F.col("batch"))) == before
