@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from echolith.functions import filters
+from echolith.runtime import materialize
 
 DAY_MS = 86_400_000
 
@@ -54,13 +55,15 @@ def edge_time(history: DataFrame, most: int) -> tuple[int, int] | None:
 
     Narrows the range of times by a histogram of 4,096 bins at a time; what comes to the driver is that small.
     """
-    low, high, n = history.agg(F.min("completed_at_ms"), F.max("completed_at_ms"), F.count("completed_at_ms")).first()
+    # history may be a long plan: its times are counted once, and only the counts are read again
+    times = materialize(history.where("completed_at_ms is not null").groupBy("completed_at_ms").agg(F.count("*").alias("n")), "times")
+    low, high, n = times.agg(F.min("completed_at_ms"), F.max("completed_at_ms"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if n <= most:
         return None
     newer, at = 0, F.col("completed_at_ms")
     while low < high:
         width = (high - low) // 4096 + 1
-        bins = history.where((at >= low) & (at <= high)).groupBy(F.expr(f"(completed_at_ms - {low}) div {width}").alias("b")).count().collect()
+        bins = times.where((at >= low) & (at <= high)).groupBy(F.expr(f"(completed_at_ms - {low}) div {width}").alias("b")).agg(F.sum("n")).collect()
         for b, count in sorted(bins, reverse=True):
             if newer + count >= most:
                 low, high = low + b * width, min(high, low + b * width + width - 1)
