@@ -254,43 +254,50 @@ def json_export_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 # imports ----------------------------------------------------------------------------------------------
 def _history_text(spark: SparkSession, sf: str, line) -> str:
-    """A history file written from the commands of one line."""
+    """A history file of all commands, each written as its shell would."""
     path = fresh_path(spark, "shell-history")
-    one_line = table(spark, sf, "commands").where(~F.rlike("command", F.lit(r"[\n\r\\]")))
-    one_line.select(line.alias("value")).write.text(path)
+    table(spark, sf, "commands").where("command is not null").select(line.alias("value")).write.text(path)
     return path
 
 
-_ONE_LINE = r"command is not null and not regexp_matches(command, '[\n\r\\]')"
+_BASH = rf"""lines as (select {trim('x')} as command from (select unnest(string_split(replace(command, chr(13) || chr(10), chr(10)), chr(10))) as x from commands where command is not null)),
+parsed as (select command from lines where command <> '' and not starts_with(command, '#'))"""
 
 
-@query(f"select c as command, count(*) as n from (select {trim('command')} as c from commands where {_ONE_LINE}) where c <> '' and not starts_with(c, '#') group by 1")
+@query(f"with {_BASH} select command, count(*) as n from parsed group by 1")
 def history_parse_bash(spark: SparkSession, sf: str) -> DataFrame:
     return history_files.bash_history(spark, _history_text(spark, sf, F.col("command"))).groupBy("command").agg(F.count("*").alias("n"))
 
 
-@query(f"select c as command, count(*) as n from (select {trim('command')} as c from commands where {_ONE_LINE}) where c <> '' group by 1")
+@query(f"select c as command, count(*) as n from (select {trim('replace(command, chr(13) || chr(10), chr(10))')} as c from commands where command is not null) where c <> '' group by 1")
 def history_parse_zsh(spark: SparkSession, sf: str) -> DataFrame:
-    line = F.concat(F.lit(": "), (F.col("completed_at_ms") / 1000).cast("bigint").cast("string"), F.lit(":0;"), F.col("command"))
+    """In the extended format; lines inside a command are continued, and a backslash at its end is kept apart from the line end."""
+    ends_apart = F.when(F.endswith("command", F.lit("\\")), F.concat("command", F.lit(" "))).otherwise(F.col("command"))
+    body = F.replace(F.replace(ends_apart, F.lit("\r\n"), F.lit("\n")), F.lit("\n"), F.lit("\\\n"))
+    line = F.concat(F.lit(": "), F.expr("completed_at_ms div 1000").cast("string"), F.lit(":0;"), body)
     return history_files.zsh_history(spark, _history_text(spark, sf, line)).groupBy("command").agg(F.count("*").alias("n"))
 
 
-@query(f"select c as command, count(*) as n from (select {trim('command')} as c from commands where {_ONE_LINE}) where c <> '' group by 1")
+@query(rf"""with t as (select regexp_split_to_array(replace({trim('command')}, '\n', chr(10)), '\r?\n')[1] as x from commands where command is not null)
+select {trim('x')} as command, count(*) as n from t where {trim('x')} <> '' group by 1""")
 def history_parse_fish(spark: SparkSession, sf: str) -> DataFrame:
-    return history_files.fish_history(spark, _history_text(spark, sf, F.concat(F.lit("- cmd: "), F.col("command")))).groupBy("command").agg(F.count("*").alias("n"))
+    """Line feeds are escaped; only the first line of a command is read."""
+    line = F.concat(F.lit("- cmd: "), F.replace(F.regexp_replace("command", r"\r\n", "\n"), F.lit("\n"), F.lit("\\n")))
+    return history_files.fish_history(spark, _history_text(spark, sf, line)).groupBy("command").agg(F.count("*").alias("n"))
 
 
-@query(f"""with {HISTORY}, p as (select {trim('command')} as command, sha256({normal('command')} || chr(0) || 'imported') as h from commands where {_ONE_LINE} and {trim('command')} <> '' and not starts_with({trim('command')}, '#')),
-k as (select *, {sql_ingest()} as kept, h in (select content_hash from hist) as known from p)
+_IMPORTED = f"sha256({normal('command')} || chr(0) || 'imported')"
+
+
+@query(f"""with {HISTORY}, {_BASH}, k as (select {sql_ingest()} as kept, {_IMPORTED} in (select content_hash from hist) as known from parsed)
 select count(*) as found, count(*) filter (not kept) as filtered, count(*) filter (kept and not known) as would_import, count(*) filter (kept and known) as would_skip from k""")
 def import_dry_run(spark: SparkSession, sf: str) -> DataFrame:
     parsed = history_files.bash_history(spark, _history_text(spark, sf, F.col("command")))
     return importing.dry_run(parsed, views.history(spark, sf))
 
 
-@query(f"""with {HISTORY}, p as (select {trim('command')} as command from commands where {_ONE_LINE} and {trim('command')} <> '' and not starts_with({trim('command')}, '#'))
-select distinct sha256({normal('command')} || chr(0) || 'imported') as content_hash, {normal('command')} as normalized_command, 'imported' as cwd, 1::bigint as run_count from p
-where {sql_ingest()} and sha256({normal('command')} || chr(0) || 'imported') not in (select content_hash from hist)""")
+@query(f"""with {HISTORY}, {_BASH} select distinct {_IMPORTED} as content_hash, {normal('command')} as normalized_command, 'imported' as cwd, 1::bigint as run_count from parsed
+where {sql_ingest()} and {_IMPORTED} not in (select content_hash from hist)""")
 def import_run(spark: SparkSession, sf: str) -> DataFrame:
     parsed = history_files.bash_history(spark, _history_text(spark, sf, F.col("command")))
     return importing.run(parsed, views.history(spark, sf), NOW_MS, "import-session").select("content_hash", "normalized_command", "cwd", "run_count")
