@@ -21,7 +21,8 @@ _COMMON = sorted(set(COMMON_WORDS.split()))
 #: A character that is no white space.
 _SOLID = r"[^\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
-_SPACE = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+#: All white space.
+_SPACES = " \t\n\x0b\f\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 _VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýœ"
 
@@ -48,6 +49,8 @@ THRESHOLDS = {
     "least_common": 0.04,
     "words_per_comma": 2.0,
     "least_words": 20,
+    "enumeration_words": 8,
+    "table_lines": 3,
 }
 
 
@@ -82,7 +85,7 @@ def quality_stats(df: DataFrame, key: str, text: str) -> DataFrame:
     )
     counted = cut.select(
         key, "_lines",
-        F.length(t).cast("bigint").alias("n_chars"), _kept(t, _SPACE).alias("n_solid"), F.size("_words").cast("bigint").alias("n_words"), F.size("_lines").cast("bigint").alias("n_lines"),
+        F.length(t).cast("bigint").alias("n_chars"), F.length(F.translate(t, _SPACES, "")).cast("bigint").alias("n_solid"), F.size("_words").cast("bigint").alias("n_words"), F.size("_lines").cast("bigint").alias("n_lines"),
         _kept(low, r"[^\p{L}\p{N}]+").alias("_in_words"), _kept(t, r"[^\p{L}\p{N}]+").alias("_alnum"), _kept(t, r"\P{L}+").alias("_letters"), _kept(t, r"\P{IsLatin}+").alias("_latin"),
         (F.length(low) - F.length(F.translate(low, _VOWELS, ""))).alias("_vowels"), (F.length(t) - F.length(F.translate(t, ",;", ""))).alias("_commas"),
         F.size(F.filter("_words", lambda w: w.isin(_COMMON))).alias("_common"), F.size(F.array_distinct("_words")).alias("_distinct"),
@@ -117,7 +120,7 @@ def reason(limits: dict[str, float] | None = None) -> Column:
         F.when(c("n_solid") == 0, F.lit(None))
         .when(c("log_share") > r["log_share"], F.lit("log"))
         .when(c("bullet_share") > r["list_share"], F.lit("list"))
-        .when(c("table_share") > r["table_share"], F.lit("table"))
+        .when((c("table_share") > r["table_share"]) & (c("n_lines") >= r["table_lines"]), F.lit("table"))
         .when(c("letter_share") < r["least_letters"], F.lit("symbols"))
         .when(c("entry_share") > r["list_share"], F.lit("entries"))
         .when((c("repeated_lines") > r["repeated_lines"]) & (c("n_lines") >= 4), F.lit("repeated lines"))
@@ -126,7 +129,7 @@ def reason(limits: dict[str, float] | None = None) -> Column:
         .when(spaced & (c("mean_word") > r["longest_mean_word"]), F.lit("long words"))
         .when(spaced & enough & (c("vowel_share") < r["least_vowels"]), F.lit("no vowels"))
         .when(enough & (c("common_share") > r["most_common"]), F.lit("common words only"))
-        .when(spaced & enough & (c("words_per_comma") > 0) & (c("words_per_comma") < r["words_per_comma"]), F.lit("enumeration"))
+        .when(spaced & (c("n_words") >= r["enumeration_words"]) & (c("words_per_comma") > 0) & (c("words_per_comma") < r["words_per_comma"]), F.lit("enumeration"))
         .when(spaced & enough & (c("common_share") < r["least_common"]), F.lit("no common words"))
     )
 
