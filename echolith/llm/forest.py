@@ -158,7 +158,8 @@ class HistoryForest:
         return F.shiftright("label", 64 - 16 * self.shape.shortest())
 
     def _search(self, asked: DataFrame) -> DataFrame:
-        """(q, q_run, rec, more): entries whose labels begin like that of a text in one tree, the nearest first."""
+        """(q, q_run, rec, deep, more): entries whose labels begin like that of a text in a tree, the nearest first;
+        ``deep`` is the longest common prefix, in hashes, over all trees."""
         nearest, width = self.shape.nearest, 64 - 16 * self.shape.shortest()
 
         def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +172,7 @@ class HistoryForest:
                 first = np.concatenate(([0], change))
                 size = np.diff(np.append(first, len(tree)))
                 questions = np.add.reduceat(asks, first)
-                q, q_run, found, more = [], [], [], []
+                q, q_run, found, deep, more = [], [], [], [], []
                 for g in np.flatnonzero((questions > 0) & (questions < size)):
                     part = slice(first[g], first[g] + size[g])
                     kind = asks[part] == 1
@@ -183,12 +184,14 @@ class HistoryForest:
                         over = len(recs) > nearest
                         if over:  # neighbours in the sorted run share the longest prefixes
                             at = min(max(0, int(np.searchsorted(labels_before, mark)) - nearest // 2), len(recs) - nearest)
-                            recs = recs[at : at + nearest]
+                            recs, labels_before = recs[at : at + nearest], labels_before[at : at + nearest]
+                        differ = (labels_before ^ mark).view(np.uint64)
+                        deep += sum((differ >> np.uint64(bits) == 0).astype(int) for bits in (48, 32, 16, 0)).tolist() if len(recs) else []
                         q += [name] * len(recs)
                         q_run += [limit] * len(recs)
                         found += recs.tolist()
                         more += [over or truncated] * len(recs)
-                return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(q_run, pa.int32()), pa.array(found, pa.int64()), pa.array(more, pa.bool_())], names=["q", "q_run", "rec", "more"]) if q else None
+                return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(q_run, pa.int32()), pa.array(found, pa.int64()), pa.array(deep, pa.int32()), pa.array(more, pa.bool_())], names=["q", "q_run", "rec", "deep", "more"]) if q else None
 
             def joined() -> list[np.ndarray]:
                 return [np.concatenate(c) for c in zip(*held)]
@@ -215,8 +218,8 @@ class HistoryForest:
         entries = self._all("labels", _SIGNED).withColumn("asks", F.lit(0).cast("tinyint"))
         rows = entries.unionByName(asked.withColumn("asks", F.lit(1).cast("tinyint")))
         rows = rows.repartition("tree", "place_h", self._prefix()).sortWithinPartitions("tree", "place_h", "label")
-        found = rows.mapInArrow(ranges, "q bigint, q_run int, rec bigint, more boolean")
-        return found.groupBy("q", "q_run", "rec").agg(F.max("more").alias("more"))
+        found = rows.mapInArrow(ranges, "q bigint, q_run int, rec bigint, deep int, more boolean")
+        return found.groupBy("q", "q_run", "rec").agg(F.max("deep").alias("deep"), F.max("more").alias("more"))
 
     def _verified(self, pairs: DataFrame, asked: DataFrame, known: DataFrame) -> DataFrame:
         """(rec, run) of the asked rows with a candidate of the same place that is similar enough."""
@@ -238,7 +241,8 @@ class HistoryForest:
         """(key) of the rows of new batches that repeat, by place and text, a row of a lower batch.
 
         A text known as it stands is a repeat at once. For the others each tree is searched by range for the labels
-        that begin alike, and candidates are verified on the texts. Texts that have more
+        that begin alike, and candidates are verified on the texts: first those under the longer prefixes, then, for
+        texts still without a match, those under the shortest, with which the recall is reached. Texts that have more
         candidates than the first pass looks at, and no match among them, are compared with all of
         theirs in a second pass, which spreads large groups over tasks.
 
@@ -256,9 +260,13 @@ class HistoryForest:
         rest = materialize(asked.join(exact, ["rec", "run"], "left_anti"), "forest-rest")
         signed = rest.select("rec", "place_h", "text", "run").mapInArrow(_sign(self.shape), _SIGNED)
         pairs = materialize(self._search(signed), "forest-pairs")
-        near = materialize(self._verified(pairs, rest, known), "forest-near")
+        # longer prefixes first: a text with a match among these is not looked at again when they are widened
+        shortest, name = self.shape.shortest(), [F.col("q").alias("rec"), F.col("q_run").alias("run")]
+        near = materialize(self._verified(pairs.where(F.col("deep") > shortest), rest, known), "forest-near")
+        left = pairs.where(F.col("deep") <= shortest).join(near.select(F.col("rec").alias("q"), F.col("run").alias("q_run")), ["q", "q_run"], "left_anti")
+        near = near.unionByName(materialize(self._verified(left, rest, known), "forest-wide"))
         hits = exact.unionByName(near)
-        undecided = pairs.where("more").select(F.col("q").alias("rec"), F.col("q_run").alias("run")).distinct().join(near, ["rec", "run"], "left_anti")
+        undecided = pairs.where("more").select(*name).distinct().join(near, ["rec", "run"], "left_anti")
         if undecided.limit(1).count():
             hits = hits.unionByName(self._verified(self._all_pairs(rest.join(undecided, ["rec", "run"], "left_semi")), rest, known))
         return rows.join(hits, ["rec", "run"], "left_semi").select(F.col("_key").alias(key))
