@@ -164,12 +164,12 @@ f as (select coalesce(l.command, r.command) as command, coalesce(l.cwd, r.cwd) a
 top as (select * from f order by rrf desc, command, cwd limit 20)"""
 
 
-def _fused(spark: SparkSession, sf: str) -> DataFrame:
+def _fused(spark: SparkSession, sf: str, limit: int = 20) -> DataFrame:
     named = views.named_vectors(spark, sf)
     words = lexical.search(named, "widget", 40, tie="id")
     near = vector.knn(views.vectors(spark, sf), views.query_vector(spark, sf), 40)
     similar = vector.semantic(near, named, 40)
-    return hybrid.fuse(words, [F.desc("score"), F.desc("completed_at_ms"), F.col("id")], similar, [F.col("distance"), F.col("command_id")], 20)
+    return hybrid.fuse(words, [F.desc("score"), F.desc("completed_at_ms"), F.col("id")], similar, [F.col("distance"), F.col("command_id")], limit)
 
 
 @query(_FUSED + " select command, cwd, run_count, match_kind, source, round(rrf / max(rrf) over (), 6) as score from top")
@@ -177,9 +177,9 @@ def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(_fused(spark, sf).select("command", "cwd", "run_count", "match_kind", "source", "score"), 6, "score")
 
 
-@query(_FUSED + " select source, count(*) as n from top group by 1")
+@query(_FUSED.replace("cwd limit 20)", "cwd limit 60)") + " select source, count(*) as n from top group by 1")
 def rrf_sources(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.source_counts(_fused(spark, sf))
+    return stats.source_counts(_fused(spark, sf, 60))
 
 
 _FNV = "list_reduce(list_prepend(14695981039346656037::uhugeint, [x::uhugeint for x in {0}]), lambda h, x: (xor(h, x) * 1099511628211) % 18446744073709551616::uhugeint)"
