@@ -16,6 +16,8 @@ _ENDS = r"(?U)^\s+|\s+$"
 _TOP = np.uint64(1 << 63)
 #: Rows of one prefix that a task holds at once.
 _CHUNK = 65_536
+#: Texts whose shingles a task keeps while it verifies.
+_KEPT = 5_000
 
 
 @dataclass(frozen=True)
@@ -54,15 +56,18 @@ def shingles(text: str) -> frozenset[str]:
     return frozenset(text[i : i + 3] for i in range(len(text) - 2)) if len(text) >= 3 else frozenset((text,))
 
 
-def similar(a: str, b: str, threshold: tuple[int, int]) -> bool:
-    """Whether |A & B| / |A | B| of the shingles reaches the threshold."""
-    x, y = shingles(a), shingles(b)
+def alike(x: frozenset[str], y: frozenset[str], threshold: tuple[int, int]) -> bool:
+    """Whether |x & y| / |x | y| reaches the threshold."""
     if min(len(x), len(y)) * threshold[1] < max(len(x), len(y)) * threshold[0]:
         return False
     both = len(x & y)
     return both * threshold[1] >= threshold[0] * (len(x) + len(y) - both)
 
 
+def similar(a: str, b: str, threshold: tuple[int, int]) -> bool:
+    return alike(shingles(a), shingles(b), threshold)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E6C63D0876A9A47)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -231,8 +236,17 @@ class HistoryForest:
         )
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept: dict[str, frozenset[str]] = {}  # a text has many partners in a large group
+
+            def of(text: str) -> frozenset[str]:
+                if text not in kept:
+                    if len(kept) >= _KEPT:
+                        kept.clear()
+                    kept[text] = shingles(text)
+                return kept[text]
+
             for batch in batches:
-                keep = pa.array([similar(a, b, threshold) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
+                keep = pa.array([alike(of(a), of(b), threshold) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
                 yield batch.select([0, 1]).filter(keep)
 
         return sides.mapInArrow(compare, "q bigint, q_run int").distinct().select(F.col("q").alias("rec"), F.col("q_run").alias("run"))
