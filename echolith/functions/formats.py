@@ -45,6 +45,12 @@ def format_bytes(n: Column | str) -> Column:
     )
 
 
+def fragmentation(free: Column | str, total: Column | str) -> Column:
+    """Percent of a whole that is free; 0 of nothing."""
+    free, total = _col(free), _col(total)
+    return F.when(total > 0, free / total * 100).otherwise(0.0)
+
+
 def csv_escape(text: Column | str) -> Column:
     text = _col(text)
     return F.when(F.rlike(text, F.lit('[,"\n]')), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)

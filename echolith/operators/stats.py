@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from echolith.functions import filters
+
 
 def recent(history: DataFrame, n: int, tie: str = "content_hash") -> DataFrame:
     """The newest rows."""
@@ -63,6 +65,11 @@ def source_counts(results: DataFrame) -> DataFrame:
     return results.groupBy("source").agg(F.count("*").alias("n"))
 
 
+def visible(results: DataFrame, show_internal: bool = False, product: str = filters.PRODUCT) -> DataFrame:
+    """Results without calls of the tool itself and noise, unless asked for."""
+    return results if show_internal else results.where(~filters.is_internal("command", product))
+
+
 def pinned_first(results: DataFrame, pinned: DataFrame, position: str, only_pinned: bool = False) -> DataFrame:
     """Favourites (command, cwd) before the others, each in their order."""
     marks = pinned.select("command", "cwd").distinct().withColumn("pinned", F.lit(True))

@@ -78,6 +78,23 @@ def test_import_and_export(spark, engine, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 2
 
 
+def test_command_line(spark, engine, tmp_path):
+    from echolith.__main__ import _parser, run
+
+    def call(*words):
+        return run(engine, _parser().parse_args(["store", *words]), 10_000)
+
+    (tmp_path / "h").write_text("git log\n")
+    assert commands(call("search", "git", "status", "--mode", "fts", "--limit", "1")) == ["git status"]
+    assert call("recent", "--limit", "2").count() == 2 and call("stats")["total_commands"] == 3
+    assert call("import", "--shell", "bash", "--file", str(tmp_path / "h"), "--dry-run").first()["would_import"] == 1
+    assert call("cleanup", "failed") == {"removed": 1, "remaining": 2} and call("optimize") is None and call("reindex") == {"embedded": 2}
+    assert call("semantic", "git status", "--limit", "1").count() == 1 and call("export", str(tmp_path / "o"), "--format", "csv") is None
+    assert call("ask", "disk", "space").count() > 0 and call("explain", "git stash").count() == 1 and call("learn", "go").count() == 1 and call("packs").count() == 6
+    with pytest.raises(SystemExit):
+        call("search", "x", "--mode", "none")
+
+
 def test_empty_store(spark):
     e = HistoryEngine(spark, fresh_path(spark, "engine"))
     assert e.history().count() == 0 and e.search("abc").count() == 0 and e.usage()["total_commands"] == 0 and e.cleanup("internal", 1) == (0, 0)

@@ -87,3 +87,11 @@ def test_search_metrics(spark):
 def test_usage_of_nothing(spark):
     h = history(spark).limit(0)
     assert tuple(stats.usage_stats(h, h.select("session_id")).first()) == (0, 0, 0, 0, 0)
+
+
+def test_visible_and_fragmentation(spark, rows):
+    from echolith.functions.formats import fragmentation
+
+    r = spark.createDataFrame([("git status", 1, 4), ("exit", 0, 0)], "command string, free int, total int")
+    assert rows(stats.visible(r), "command") == [("git status",)] and stats.visible(r, True).count() == 2
+    assert [x[0] for x in r.select(fragmentation("free", "total")).collect()] == [25.0, 0.0]
