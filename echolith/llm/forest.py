@@ -169,6 +169,7 @@ class HistoryForest:
 
         def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[np.ndarray] = []
+            torn: tuple | None = None  # the tree, place and prefix of a group that was cut, and goes on
 
             def solve(cols: list[np.ndarray], cut: bool) -> pa.RecordBatch | None:
                 tree, place, label, rec, run, asks = cols
@@ -177,12 +178,18 @@ class HistoryForest:
                 first = np.concatenate(([0], change))
                 size = np.diff(np.append(first, len(tree)))
                 questions = np.add.reduceat(asks, first)
+                incomplete = np.zeros(len(first), bool)
+                incomplete[-1] = cut
+                incomplete[0] |= torn == (tree[0], place[0], prefix[0])
                 q, q_run, found, deep, more = [], [], [], [], []
-                for g in np.flatnonzero((questions > 0) & (questions < size)):
+                for g in np.flatnonzero((questions > 0) & ((questions < size) | incomplete)):
                     part = slice(first[g], first[g] + size[g])
                     kind = asks[part] == 1
                     e_label, e_rec, e_run = label[part][~kind], rec[part][~kind], run[part][~kind]
-                    truncated = cut and g in (0, len(first) - 1)
+                    truncated = bool(incomplete[g])
+                    if truncated:  # a row without an entry, so that the text is known to have more
+                        n = int(questions[g])
+                        q, q_run, found, deep, more = q + rec[part][kind].tolist(), q_run + run[part][kind].tolist(), found + [None] * n, deep + [0] * n, more + [True] * n
                     for mark, name, limit in zip(label[part][kind], rec[part][kind], run[part][kind]):
                         before = e_run < limit
                         labels_before, recs = e_label[before], e_rec[before]
@@ -215,7 +222,9 @@ class HistoryForest:
                 big = len(same) - last >= _CHUNK or last == len(same)
                 use = cols if big else [c[:last] for c in cols]
                 held = [] if big else [[c[last:] for c in cols]]
-                if (result := solve(use, big)) is not None:
+                result = solve(use, big)
+                torn = (cols[0][-1], cols[1][-1], cols[2][-1] >> width) if big else None
+                if result is not None:
                     yield result
             if held and (result := solve(joined(), False)) is not None:
                 yield result

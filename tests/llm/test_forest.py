@@ -56,13 +56,18 @@ def test_edges(spark, rows):
     assert found(spark, rows, history, []) == []
 
 
-@pytest.mark.parametrize("chunk", [65_536, 40])
-def test_a_hot_prefix_gets_all_its_candidates(spark, rows, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "batch"), [(65_536, 10_000), (40, 10_000), (40, 15), (7, 3)])
+def test_a_hot_prefix_gets_all_its_candidates(spark, rows, monkeypatch, chunk, batch):
+    """Also where its rows come in several pieces."""
     monkeypatch.setattr(forest, "_CHUNK", chunk)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     base = "kubectl get pods --all-namespaces --watch --output wide --selector application"
     history = [(f"h{i}", 0, f"{base}={i:05}", "/") for i in range(400)]
     waiting = [(f"n{i}", 1, f"{base}={i:05}x", "/") for i in range(0, 400, 7)] + [("m", 1, base[:50] + " entirely different tail of the line", "/")]
-    assert found(spark, rows, history, waiting, ForestShape(nearest=2)) == truth(history, waiting)
+    try:
+        assert found(spark, rows, history, waiting, ForestShape(nearest=2)) == truth(history, waiting)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_merged_runs_give_the_same(spark, rows):
