@@ -56,6 +56,18 @@ def ask(entries: DataFrame, query: str, limit: int = 5, least: float = LEAST_CON
     )
 
 
+def ask_many(entries: DataFrame, questions: list[tuple[int, str]], limit: int = 5, least: float = LEAST_CONFIDENCE, block: int = 16) -> DataFrame:
+    """(question_id, rank, ...) of many questions: entries are prepared once for each block of questions."""
+    rows, out = prepared(entries), None
+    for at in range(0, len(questions), block):
+        scores = F.array(*[F.struct(F.lit(i).cast("bigint").alias("question_id"), score_entry(q).alias("confidence")) for i, q in questions[at : at + block]])
+        each = rows.select("ordinal", "command", "description", "category", "topic", F.explode(scores).alias("s")).select("*", "s.*").drop("s")
+        best = Window.partitionBy("question_id").orderBy(F.desc("confidence"), "ordinal")
+        found = each.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= limit) & (F.col("confidence") >= least))
+        out = found if out is None else out.unionByName(found)
+    return out.withColumn("confidence_text", format_confidence("confidence"))
+
+
 def explain(entries: DataFrame, command: str) -> DataFrame:
     """At most one entry: the first equal one, else the only one that begins so, else the first that contains the text or is contained."""
     q = command.lower()

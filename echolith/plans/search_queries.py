@@ -242,9 +242,15 @@ _ASK = ["red widget", "widget red", "wodget", "economy gear"]
     f"(select '{q}' as question, ordinal, command, round(c, 6) as confidence, (case when floor(c * 100 + 0.5) >= 90 then 'High' when floor(c * 100 + 0.5) >= 70 then 'Medium' else 'Low' end) || ' (' || floor(c * 100 + 0.5)::int || '%)' as confidence_text "
     f"from (select *, {_score(q)} as c from kb) where c >= 0.15 order by round(c, 9) desc, ordinal limit 10)" for q in _ASK))
 def kb_ask(spark: SparkSession, sf: str) -> DataFrame:
-    entries = views.knowledge(spark, sf)
-    frames = [knowledge.ask(entries, q, 10).withColumn("question", F.lit(q)) for q in _ASK]
-    return _rounded(knowledge.union_entries(frames).select("question", "ordinal", "command", "confidence", "confidence_text"), 6, "confidence")
+    """Several questions as one job."""
+    names = F.array(*map(F.lit, _ASK))
+    found = knowledge.ask_many(views.knowledge(spark, sf), list(enumerate(_ASK)), 10).withColumn("question", names[F.col("question_id").cast("int")])
+    return _rounded(found.select("question", "ordinal", "command", "confidence", "confidence_text"), 6, "confidence")
+
+
+@query(f"with {KNOWLEDGE} select ordinal, command, round({_score('wodget')}, 6) as confidence from kb where {_score('wodget')} >= 0.15 order by round({_score('wodget')}, 9) desc, ordinal limit 5")
+def kb_ask_one(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(knowledge.ask(views.knowledge(spark, sf), "wodget").select("ordinal", "command", "confidence"), 6, "confidence")
 
 
 def _explained(q: str) -> str:
@@ -266,9 +272,9 @@ def kb_learn(spark: SparkSession, sf: str) -> DataFrame:
     return knowledge.learn_flat(views.knowledge(spark, sf), "Brand#17")
 
 
-@query(f"""with {KNOWLEDGE} select 'brand#17' as topic, 'Brand#17 commands' as description, list(struct_pack(name := category, commands := commands) order by category) as categories
-from (select category, list(struct_pack(command := command, description := description, difficulty := difficulty) order by difficulty, ordinal) as commands from kb where topic = 'brand#17' group by category)""")
+@query()
 def kb_learn_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """One nested row; its flat form is ``kb_learn``."""
     return knowledge.learn(views.knowledge(spark, sf), "Brand#17")
 
 

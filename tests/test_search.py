@@ -96,6 +96,8 @@ def test_ask_explain_learn(spark):
     e = kb(spark)
     assert knowledge.ask(e, "running containers").first()["confidence"] == 1.0
     assert knowledge.ask(e, "").count() == 0
+    many = knowledge.ask_many(e, [(5, "running containers"), (7, "git"), (9, "")], 2, block=2).orderBy("question_id", "rank").collect()
+    assert [(r["question_id"], r["command"]) for r in many if r["rank"] == 1] == [(5, "docker ps"), (7, "git log")]
     assert [r["command"] for r in knowledge.explain(e, "GIT").collect()] == ["git log"]
     assert [r["command"] for r in knowledge.explain(e, "docker").collect()] == ["docker ps"]
     assert [r["command"] for r in knowledge.explain(e, "docker pu").collect()] == ["docker pull"]
