@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -37,7 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
     if set_before:
         return set_before
     if spark.sparkContext.master.split("[")[0] == "local":
-        place = "file://" + tempfile.mkdtemp(prefix="echolith-")
+        folder = tempfile.mkdtemp(prefix="echolith-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        place = f"file://{folder}"
     else:
         place = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_echolith_work"
     spark.sparkContext.setCheckpointDir(place)
