@@ -12,7 +12,7 @@ from echolith.functions import filters
 from echolith.functions.embedding import EmbeddingProvider, NgramProvider
 from echolith.manifest import Manifest
 from echolith.operators import hybrid, importing, ingest, knowledge, lexical, retention, stats, vector
-from echolith.runtime import hadoop_path
+from echolith.runtime import hadoop_path, ship
 from echolith.sources import exports, history_files
 from echolith.sources.packs import Knowledge
 
@@ -35,6 +35,7 @@ class HistoryEngine:
         if self.state.read()["schema"] > schemas.VERSION:
             raise RuntimeError("the store was written by a newer version")
         self._packs_dir, self._packs = packs, None
+        ship(spark)
 
     # tables -------------------------------------------------------------------------------------------
     def _table(self, name: str, schema: str) -> DataFrame:

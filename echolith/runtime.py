@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,22 @@ def build_session(app: str = "echolith", cpus: int | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session, so that they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_echolith_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="echolith-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    package = Path(__file__).resolve().parent
+    target = f"{folder}/echolith_code.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(target)
+    context._echolith_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
