@@ -14,7 +14,7 @@ COMMON_WORDS = (
     "der die das und ist nicht ein eine zu den von mit dem des auf im für sich als auch es an werden aus er hat dass wir sie nach wird bei einer um am sind noch wie einem über so zum war haben nur oder aber vor zur bis mehr man "
     "le la les de et un une est que pour dans qui il pas sur au du en ne ce des se plus par avec ou sont nous on mais cette si tout était elle aux "
     "el los las y en que del se por con no una su para es lo como más al sus le ha o este sí porque esta entre cuando muy sin sobre hay ya fue "
-    "il di che è per non sono con si da come più anche gli della nel alla o um os não uma mais foi het een van ik te dat niet op zijn voor er maar"
+    "il di che è per non sono con si da come più anche gli della nel alla o um os não uma mais foi het een van ik te dat niet op voor"
 )
 _COMMON = sorted(set(COMMON_WORDS.split()))
 
@@ -68,10 +68,11 @@ def _chars(lines: Column, pattern: str) -> Column:
     return F.aggregate(F.filter(lines, lambda line: F.rlike(line, F.lit(pattern))), F.lit(0), lambda n, line: n + F.length(F.regexp_replace(line, r"\s+", "")))
 
 
-def quality_stats(df: DataFrame, key: str, text: str) -> DataFrame:
+def quality_stats(df: DataFrame, key: str, text: str, common_words: list[str] | None = None) -> DataFrame:
     """One row for each text: counts and ratios of its words, symbols and lines.
 
-    Built-in expressions only, one map without shuffle, over whole texts. Defined cases: a null text
+    Built-in expressions only, one map without shuffle, over whole texts. ``common_words`` replaces the list
+    of the commonest words of some languages. Defined cases: a null text
     counts as an empty one, which has zero everywhere; repeated rows come out each; an empty table
     gives no rows; columns other than the two are not read.
     """
@@ -88,7 +89,7 @@ def quality_stats(df: DataFrame, key: str, text: str) -> DataFrame:
         F.length(t).cast("bigint").alias("n_chars"), F.length(F.translate(t, _SPACES, "")).cast("bigint").alias("n_solid"), F.size("_words").cast("bigint").alias("n_words"), F.size("_lines").cast("bigint").alias("n_lines"),
         _kept(low, r"[^\p{L}\p{N}]+").alias("_in_words"), _kept(t, r"[^\p{L}\p{N}]+").alias("_alnum"), _kept(t, r"\P{L}+").alias("_letters"), _kept(t, r"\P{IsLatin}+").alias("_latin"),
         (F.length(low) - F.length(F.translate(low, _VOWELS, ""))).alias("_vowels"), (F.length(t) - F.length(F.translate(t, ",;", ""))).alias("_commas"),
-        F.size(F.filter("_words", lambda w: w.isin(_COMMON))).alias("_common"), F.size(F.array_distinct("_words")).alias("_distinct"),
+        F.size(F.filter("_words", lambda w: w.isin(common_words or _COMMON))).alias("_common"), F.size(F.array_distinct("_words")).alias("_distinct"),
     )
     lines, n_words, n_lines, solid = F.col("_lines"), F.col("n_words"), F.col("n_lines"), F.col("n_solid")
     return counted.select(
@@ -134,7 +135,7 @@ def reason(limits: dict[str, float] | None = None) -> Column:
     )
 
 
-def not_prose(df: DataFrame, key: str, text: str, limits: dict[str, float] | None = None) -> DataFrame:
+def not_prose(df: DataFrame, key: str, text: str, limits: dict[str, float] | None = None, common_words: list[str] | None = None) -> DataFrame:
     """(key, reason) of the texts that are not prose. Null, empty and blank texts are none of them."""
     kind = dict(df.dtypes)[key]
 
@@ -143,4 +144,4 @@ def not_prose(df: DataFrame, key: str, text: str, limits: dict[str, float] | Non
             yield batch.filter(batch.column(1).is_valid())
 
     # a filter in the plan would be pushed below the statistics and work them all out a second time
-    return quality_stats(df, key, text).select(key, reason(limits).alias("reason")).mapInArrow(failed, f"`{key}` {kind}, reason string")
+    return quality_stats(df, key, text, common_words).select(key, reason(limits).alias("reason")).mapInArrow(failed, f"`{key}` {kind}, reason string")
