@@ -1,6 +1,9 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
+import echolith.llm.neighbours as module
 from echolith.llm.neighbours import IndexShape, neighbours, visit
 
 SHAPE = IndexShape(dims=16, sample=512, block=64, least_entries=64, least_cells=6)
@@ -81,3 +84,50 @@ def test_cells_come_by_summed_distance():
     cells = visit(d1, d2, every, 8, 10, 1)
     assert cells == sorted(range(64), key=lambda c: d1[c // 8] + d2[c % 8])[:10]
     assert visit(d1, d2, 5 * (np.arange(64) == cells[3]), 8, 1, 1) == [cells[3]]
+
+
+def groups(n, similarity, seed=7):
+    """Groups of about eight around isotropic centres, 384 dimensions."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n // 8, 384))[rng.integers(0, n // 8, n)] + np.sqrt(1 / similarity - 1) * rng.normal(size=(n, 384))
+    return (x / np.linalg.norm(x, axis=1)[:, None]).astype("<f4")
+
+
+@pytest.mark.parametrize("shape", [IndexShape(), IndexShape(least_cells=1, least_entries=1)], ids=["production", "widened"])
+def test_recall_with_the_production_shape(spark, tmp_path, shape):
+    n = 4_000
+    x = groups(n, 0.8)
+    ids = np.array([f"v{i:05}" for i in range(n)])
+    pq.write_table(pa.table({"id": ids, "v": [r.tobytes() for r in x], "at": np.zeros(n, np.int64)}), tmp_path / "v.parquet")
+    got = {(r[0], r[1]) for r in neighbours(spark.read.parquet(str(tmp_path / "v.parquet")), "id", "v", "at", k=5, floor=0.7, shape=shape).collect()}
+    sims = x @ x.T
+    np.fill_diagonal(sims, -2)
+    near = np.argpartition(-sims, 5, axis=1)[:, :5]
+    truth = {(ids[i], ids[j]) for i in range(n) for j in near[i] if sims[i, j] >= 0.7}
+    assert len(truth) > 5_000 and len(got & truth) / len(truth) >= 0.99
+
+
+def test_visits_widen_with_the_table():
+    """Recall of pairs that the probes did not choose, as measured on them, at two sizes."""
+    shape = IndexShape(sample=4_096, rounds=4, probes=256)
+    for n in (4_000, 40_000):
+        x = groups(n, 0.85)
+        size = shape.centroids(n)
+        books = tuple(module.fit_codebook(x[: shape.sample, h], size, shape.rounds, 1) for h in (slice(0, 192), slice(192, 384)))
+        cell = module._distances(x[:, :192], books[0]).argmin(axis=1) * size + module._distances(x[:, 192:], books[1]).argmin(axis=1)
+        counts = np.bincount(cell, minlength=size * size)
+
+        def pairs(at):
+            sims = x[at] @ x.T
+            sims[np.arange(len(at)), at] = -2
+            near = np.argpartition(-sims, 5, axis=1)[:, :5]
+            i, j = np.nonzero(np.take_along_axis(sims, near, axis=1) >= 0.7)
+            return x[at], x[near[i, j]], i
+
+        at = np.random.default_rng(3).permutation(n)[:512]
+        width, reached = module.wide_enough(*pairs(at[:256]), books, counts, shape)
+        assert reached >= shape.recall
+        probes, fellows, asked = pairs(at[256:])
+        alone = IndexShape(least_cells=width.cells, least_entries=width.entries, recall=0.0)
+        assert module.wide_enough(probes, fellows, asked, books, counts, alone)[1] >= 0.985
+        assert module.wide_enough(probes, fellows, asked, books, counts, IndexShape(recall=1.0, least_cells=int((counts > 0).sum()))) == (module.Width(int((counts > 0).sum()), n, size * size), 1.0)
