@@ -1,5 +1,8 @@
 """Invented lines; the secrets in them are none."""
 
+import random
+import string
+
 import pytest
 
 from echolith.llm.secrets import find_secrets, mask, redacted, secrets
@@ -44,6 +47,21 @@ def test_none(text):
     assert find_secrets(text) == []
 
 
+@pytest.mark.parametrize("quote", ["", "'", '"'])
+def test_random_tokens_without_a_name(quote):
+    draw = random.Random(5)
+    tokens = ["".join(draw.choices(string.ascii_letters + string.digits, k=40)) for _ in range(500)]
+    found = sum([t[s:e] for s, e in find_secrets(t)] == [f"{quote}{v}{quote}"[len(quote) : len(quote) + 40]] for v in tokens for t in [f"x {quote}{v}{quote} y"])
+    assert found >= 0.97 * len(tokens)
+
+
+def test_quoted_strings():
+    for v in ("r7Kq2Zp9Xw4Tb8Lm", "q7f0zk2v9x4t1b8m3w6d", "x9&Kp!2vQ#8zR@5t"):
+        assert [t[s:e] for t in [f"x '{v}' y"] for s, e in find_secrets(t)] == [v]
+    for v in ("release-notes-2024.TXT", "2024-01-02T03:04:05Z", "configuration_for_stage2", "https://x.test/a?b=1", "${NAME_1}/some/path9x"):
+        assert find_secrets(f"x '{v}' y") == []
+
+
 def test_only_the_secret_is_masked():
     for text, values in FOUND.items():
         out = mask(text, find_secrets(text))
