@@ -56,6 +56,8 @@ _PLACEHOLDER = re.compile(
     r"(?i)^(?:(.)\1*|\*+|x+|\.+|-+|_+|null|none|nil|undefined|true|false|yes|no|on|off|empty|stdin|prompt|ask|example|sample|dummy|test|todo|tbd|changeme|change[_\-]?me|redacted|masked|hidden|secret|password|passwd|pass|token|key"
     r"|your[_\-].*|my[_\-]?(?:password|token|key|secret)|insert[_\-].*|replace[_\-].*|\[.*\]|<.*>|\{.*\}|%\w+%)$"
 )
+# Words that stand for a value or say its type.
+_KIND = re.compile(r"(?i)^(?:str|string|text|char|varchar|bool|boolean|bytes|value|input|user|required|optional|default|file|random|here|unset|unknown|n/?a)$")
 _REFERENCE = re.compile(r"\$|\{\{|\}\}|`|\*{3,}|^(?:env|file|fd|stdin|keyring|vault|ref|arn|ssm|op):|^@|^~/|^\.{1,2}/|^[a-z]+://")
 _UUID = re.compile(r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$")
 _HEX = re.compile(r"(?i)^(?:0x)?[0-9a-f]+$")
@@ -109,7 +111,7 @@ def _believed(name: str, value: str) -> bool:
         return False
     digit, letter = any(c.isdigit() for c in value), any(c.isalpha() for c in value)
     if re.search(rf"(?i){_STRONG}", name):
-        return len(value) >= 4 and (digit or not value.isalpha() or len(value) >= 8)
+        return len(value) >= 4 and (digit or not value.isalpha() or len(value) >= 8 or bool(re.search(r"(?i)pass|pwd", name)) and not _KIND.match(value))
     least = 8 if re.search(r"(?i)token|api|secret|access|auth", name) else 16
     return len(value) >= least and digit and letter and not _UUID.match(value) and not _PATHLIKE.match(value) and looks_random(value, 0.6)
 

@@ -1,6 +1,7 @@
 """Invented lines; the secrets in them are none."""
 
 import random
+import re
 import string
 
 import pytest
@@ -62,6 +63,13 @@ def test_quoted_strings():
         assert find_secrets(f"x '{v}' y") == []
 
 
+def test_short_words_under_password_names():
+    for text in ("password=hunter ./run", "PGPASSWORD=tulip psql", "db_pwd: rose"):
+        assert [text[s:e] for s, e in find_secrets(text)] == [re.split("[ =:]+", text)[1]]
+    for text in ("password=changeme ./run", "password: string", "pwd=none x", "secret=tulip x", "password_type=plain x"):
+        assert find_secrets(text) == []
+
+
 def test_only_the_secret_is_masked():
     for text, values in FOUND.items():
         out = mask(text, find_secrets(text))
