@@ -48,7 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
     It is the one named by ``spark.checkpoint.dir``. Where that is unset, a folder is chosen and set
-    on the session: a temporary one in local mode, else one beside the warehouse.
+    on the session: a temporary one in local mode, where driver and executors are one process; else one
+    beside the warehouse, if that is on a file system that all machines see, and an error if it is not.
     """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if place:
@@ -62,6 +63,8 @@ def shared_dir(spark: SparkSession) -> str:
         place = f"file://{folder}"
     else:
         place = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_echolith_work"
+        if hadoop_path(spark, place)[0].getUri().getScheme() == "file":
+            raise RuntimeError("on a cluster, set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(place)
     return place
 
@@ -75,11 +78,33 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
     This cuts the lineage: what is read later does not depend on shuffle files, so that the loss of
-    an executor costs no more than the tasks it ran.
+    an executor costs no more than the tasks it ran. The files are deleted when the driver ends, or before by
+    ``release``.
     """
-    path = fresh_path(df.sparkSession, tag)
+    spark = df.sparkSession
+    path = fresh_path(spark, tag)
+    if not _MADE:
+        atexit.register(release, spark)
+    _MADE.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Paths of the tables written by ``materialize`` and not yet deleted.
+_MADE: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that ``materialize`` wrote; their number. Frames that read them can't be used any more."""
+    paths, done = list(_MADE), 0
+    _MADE.clear()
+    for path in paths:
+        try:
+            fs, where = hadoop_path(spark, path)
+            done += bool(fs.delete(where, True))
+        except Exception:  # the session is gone, and a temporary folder with it
+            break
+    return done
 
 
 def hadoop_path(spark: SparkSession, path: str):

@@ -11,13 +11,8 @@ HISTORY = (
 VECTORS = ("command_id string, dimensions int, embedding array<float>, model string, created_at_ms bigint")
 SEARCH_LOG = ("seq bigint, mode string, latency_ms bigint")
 CLEANUP_LOG = ("at_ms bigint, mode string, removed bigint, remaining bigint")
-PACK = (
-    "topic string, description string, version string, entries array<struct<command:string, description:string, category:string, topic:string, aliases:array<string>, "
-    "flags:array<struct<flag:string, description:string>>, examples:array<string>, difficulty:int>>"
-)
-SIMPLE_ENTRY = ("command string, description string, query string, category string, topic string")
 KNOWLEDGE = (
     "ordinal bigint, command string, description string, category string, topic string, aliases array<string>, flags array<struct<flag:string, description:string>>, examples array<string>, difficulty int, source string"
 )
 #: The order of the store's schema; a change raises it.
-VERSION = 4
+VERSION = 5

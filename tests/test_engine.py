@@ -1,8 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from echolith import schemas
 from echolith.engine import HistoryEngine
 from echolith.functions.embedding import NgramProvider
+from echolith.manifest import Conflict
 from echolith.operators.lexical import literal_match
 from echolith.operators.postings import TrigramIndex
 from echolith.runtime import fresh_path
@@ -114,3 +116,58 @@ def test_index_search_equals_a_scan(spark, rows):
     index.add(df.where("content_hash >= 'h4'"))
     for q in ("docker", "compose docker", "GRÖSSE", "größe", "xyzzy", "ab", "dock ps"):
         assert rows(index.search(df, q), "content_hash") == rows(df.where(F.coalesce(literal_match(q), F.lit(False))), "content_hash")
+
+
+def test_an_event_delivered_twice_counts_once(spark):
+    e = HistoryEngine(spark, fresh_path(spark, "engine"), NgramProvider(64))
+    e.ingest(frame(spark, event(1, "make all", 100), event(2, "git status", 200)), once=True)
+    e.ingest(frame(spark, (3, " C1 ", "s1", "make all", "/a", 0, 5, 95, 100), event(4, "make all", 300)), once=True)
+    assert {r["command"]: r["run_count"] for r in e.history().collect()} == {"make all": 2, "git status": 1}
+
+
+def test_removed_commands_take_their_vectors_with_them(spark, engine):
+    engine.reindex(1)
+    engine.cleanup("failed", 1_000)
+    assert engine.vectors().count() == 2
+    ids = spark.createDataFrame([("c2",)], "command_id string")
+    assert engine.delete_vectors(ids) == 1 and engine.reindex(2) == 1
+    vector = spark.createDataFrame([("c2", 64, [1.0] + [0.0] * 63, "x", 9)], schemas.VECTORS)
+    assert engine.upsert_vectors(vector) == 2
+    assert engine.delete_sessions(spark.createDataFrame([("s1",)], "session_id string")) == (2, 0)
+    assert engine.vectors().count() == 0 and engine.sessions().count() == 0
+
+
+def test_writers_do_not_touch_each_others_files(spark, engine):
+    other = HistoryEngine(spark, engine.path, NgramProvider(64))
+    base = engine.state.read()
+    other.ingest(frame(spark, event(7, "ls -la", 700)))
+    with pytest.raises(Conflict):
+        engine.state.commit({**base, "version": base["version"] + 1})
+    engine.ingest(frame(spark, event(8, "df -h", 800)))
+    assert {"ls -la", "df -h"} <= {r["command"] for r in engine.history().collect()}
+
+    def snapshot_meanwhile(rows):
+        other.optimize()
+        return rows
+
+    with pytest.raises(Conflict):
+        engine._snapshot(snapshot_meanwhile)
+
+
+def test_a_store_of_the_version_before(spark, engine):
+    old = HistoryEngine(spark, fresh_path(spark, "engine"), NgramProvider(64))
+    engine.history().write.parquet(f"{old.path}/folds/batch=2")
+    engine.history().limit(0).write.parquet(f"{old.path}/snapshots/3")
+    old.state.commit({"version": 1, "schema": 4, "snapshot": 3, "through": 1, "batches": 2, "vectors": []})
+    again = HistoryEngine(spark, old.path, NgramProvider(64))
+    assert again.state.read()["schema"] == schemas.VERSION and again.count() == 3
+    with pytest.raises(RuntimeError):
+        again.state.update(lambda s: {**s, "schema": 99})
+        HistoryEngine(spark, old.path)
+
+
+def test_counts_storage_sources_and_supplement(engine):
+    assert engine.counts().first().asDict() == {"commands": 3, "runs": 4, "sessions": 1, "queued": 0, "fts_bytes": 600}
+    assert engine.storage().first()["files"] >= 2
+    assert [tuple(r) for r in engine.source_counts("git", mode="fts").collect()] == [("FTS", 1)]
+    assert engine.supplement("running containers", mode="fts").count() == 3 and engine.supplement("git status", mode="fts").count() == 0
