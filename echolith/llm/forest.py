@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echolith.manifest import Manifest, attempt
 from echolith.runtime import materialize
 
 _ENDS = r"(?U)^\s+|\s+$"
 _TOP = np.uint64(1 << 63)
-#: Rows of one prefix that a task holds at once.
-_CHUNK = 65_536
+#: Questions that a task compares with their windows of entries at once.
+_CHUNK = 8_192
 #: Texts whose shingles a task keeps while it verifies.
 _KEPT = 5_000
 
@@ -26,8 +27,10 @@ class ForestShape:
 
     Two texts of similarity s share the first k hashes of a tree with probability s**k, so the
     search widens from the whole label to the longest prefix with which the trees together
-    find a pair at the ``threshold`` with probability ``recall``. ``nearest``: candidates of a tree
+    find a pair at the ``threshold`` with probability ``recall``. ``nearest``: candidates of a tree and file
     in the first pass; texts with more of them that are still undecided get all in a second.
+    ``file_rows``: rows of a file at most, which is also what a task holds; ``asked_rows``: about how many questions
+    a task asks of one file. ``most_runs``: beyond these an append merges the small ones.
     """
 
     trees: int = 10
@@ -35,7 +38,9 @@ class ForestShape:
     threshold: tuple[int, int] = (3, 4)
     recall: float = 0.9995
     nearest: int = 64
-    salts: int = 16
+    file_rows: int = 1_000_000
+    asked_rows: int = 262_144
+    most_runs: int = 12
     seed: int = 5
 
     def shortest(self) -> int:
@@ -117,129 +122,257 @@ def _sign(shape: ForestShape):
 
 
 _SIGNED = "tree tinyint, place_h bigint, label bigint, rec bigint, run int"
+_TEXTS = "rec bigint, rec2 bigint, place_h bigint, place string, text string, run int"
+_FENCES = "kind string, file bigint, path string, tree tinyint, place_h bigint, at bigint, run string"
+
+
+def _ordered(tree: np.ndarray, place: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Keys of 17 bytes that compare as (tree, place_h, label) do."""
+    keys = np.empty(len(place), np.dtype([("t", "u1"), ("p", ">u8"), ("a", ">u8")]))
+    keys["t"], keys["p"], keys["a"] = tree.astype(np.int64) + 1, place.view(np.uint64) ^ _TOP, at.view(np.uint64) ^ _TOP
+    return keys.view("S17")
+
+
+@dataclass(frozen=True)
+class Fences:
+    """The least key of each file of each run, in order: which files hold a range of keys."""
+
+    runs: tuple[tuple[np.ndarray, np.ndarray], ...]  # (keys, file ids)
+    paths: dict[int, str]
+
+    def files(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position of the range, file id) of all files that may hold keys of it."""
+        at, files = [], []
+        for keys, ids in self.runs:
+            # equal keys may begin at the end of the file before
+            first = np.maximum(np.searchsorted(keys, low, "left") - 1, 0)
+            n = np.searchsorted(keys, high, "right") - first
+            n = np.maximum(n, 0)
+            rows = np.repeat(np.arange(len(low)), n)
+            offset = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+            at.append(rows)
+            files.append(ids[first[rows] + offset])
+        return (np.concatenate(at), np.concatenate(files)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 class HistoryForest:
     """What was accepted, as sorted runs of labels, and the texts to verify candidates with.
 
-    ``append`` writes the run of a batch; the runs before it are not touched. ``match`` finds, for
-    rows of new batches, those that repeat a row of a lower batch number. ``merge_runs`` makes one run
-    of many.
+    ``append`` writes the run of a batch: labels in order of (tree, place, label), texts in order of their identifier, in
+    files of bounded size, and of each file its least key. The runs before it are not touched, until
+    there are many and the small ones are merged. ``match`` finds, for rows of new batches, those that
+    repeat a row of a lower batch number; it reads only the files into whose ranges the batch's prefixes and candidates
+    fall. A manifest names the runs: the forest can be opened again, and a writer that dies leaves it as it was.
     """
 
     def __init__(self, spark: SparkSession, path: str, shape: ForestShape | None = None):
         self.spark, self.path, self.shape = spark, path.rstrip("/"), shape or ForestShape()
-        self.runs: list[str] = []
+        self._state = Manifest(spark, self.path, {"runs": []})
+
+    @property
+    def runs(self) -> list[str]:
+        return [run["name"] for run in self._state.read()["runs"]]
 
     @staticmethod
     def records(df: DataFrame, text: str, place: str, run: Column) -> DataFrame:
-        """(rec, place_h, place, text, run) of the distinct pairs of place and text, with their first batch."""
+        """(rec, rec2, place_h, place, text, run) of the distinct pairs of place and text, with their first batch."""
         rows = df.where(F.col(text).isNotNull() & F.col(place).isNotNull())
         rows = rows.select(F.regexp_replace(place, _ENDS, "").alias("place"), normalized(F.col(text)).alias("text"), run.cast("int").alias("run"))
         rows = rows.groupBy("place", "text").agg(F.min("run").alias("run"))
-        return rows.select(F.xxhash64("place", "text").alias("rec"), F.xxhash64("place").alias("place_h"), "place", "text", "run")
+        return rows.select(*_identifiers(), "place", "text", "run")
 
+    # runs -----------------------------------------------------------------------------------------
     def append(self, records: DataFrame, name: str) -> None:
-        texts = f"{self.path}/texts/{name}"
-        records.write.parquet(texts)
-        saved = self.spark.read.schema(records.schema).parquet(texts)
-        signed = saved.select("rec", "place_h", "text", "run").mapInArrow(_sign(self.shape), _SIGNED)
-        signed.repartitionByRange("tree", "place_h", "label").sortWithinPartitions("tree", "place_h", "label").write.parquet(f"{self.path}/labels/{name}")
-        self.runs.append(name)
-
-    def merge_runs(self, name: str) -> None:
-        """All runs as one sorted run. Readers that began before keep the old files, which are not deleted."""
-        fields = "rec bigint, place_h bigint, place string, text string, run int"
-        texts = self._all("texts", fields).groupBy("rec", "place_h", "place", "text").agg(F.min("run").alias("run"))
-        texts.write.parquet(f"{self.path}/texts/{name}")
-        signed = self._all("labels", _SIGNED).groupBy("tree", "place_h", "label", "rec").agg(F.min("run").alias("run"))
-        signed.select("tree", "place_h", "label", "rec", "run").repartitionByRange("tree", "place_h", "label").sortWithinPartitions("tree", "place_h", "label").write.parquet(f"{self.path}/labels/{name}")
-        self.runs = [name]
-
-    def _all(self, kind: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{kind}/{name}" for name in self.runs])
+        """Take in the records of a batch, as a run of its own."""
+        name = attempt(name)
+        self._write_texts(records, name)
+        texts = self.spark.read.schema(_TEXTS).parquet(f"{self.path}/texts/{name}")
+        signed = texts.select("rec", "place_h", "text", "run").mapInArrow(_sign(self.shape), _SIGNED)
+        rows = self._write_labels(signed, name)
+        runs = self._state.update(lambda s: {**s, "runs": [*s["runs"], {"name": name, "rows": rows}]})["runs"]
+        if len(runs) > self.shape.most_runs:
+            # the runs that together are no larger than the largest of the others
+            by_size = sorted(runs, key=lambda r: r["rows"])
+            self.merge_runs("merged", [r["name"] for r in by_size[:-1]])
+
+    def merge_runs(self, name: str, names: list[str] | None = None) -> None:
+        """These runs, or all, as one sorted run. Readers that began before keep the old files, which are not deleted."""
+        names = names or self.runs
+        name = attempt(name)
+        keys = ["rec", "rec2", "place_h", "place", "text"]
+        self._write_texts(self._read("texts", _TEXTS, names).groupBy(*keys).agg(F.min("run").alias("run")), name)
+        rows = self._write_labels(self._read("labels", _SIGNED, names).groupBy("tree", "place_h", "label", "rec").agg(F.min("run").alias("run")), name)
+
+        def change(s: dict) -> dict:
+            if not set(names) <= {r["name"] for r in s["runs"]}:
+                raise RuntimeError("another writer merged these runs")
+            return {**s, "runs": [{"name": name, "rows": rows}, *[r for r in s["runs"] if r["name"] not in names]]}
+
+        self._state.update(change)
+
+    def _read(self, kind: str, schema: str, names: list[str]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{kind}/{name}" for name in names])
+
+    def _write_texts(self, records: DataFrame, name: str) -> None:
+        ordered = records.select(*[c.split()[0] for c in _TEXTS.split(", ")]).repartitionByRange("place_h", "rec").sortWithinPartitions("place_h", "rec")
+        ordered.write.option("maxRecordsPerFile", self.shape.file_rows).parquet(f"{self.path}/texts/{name}")
+
+    def _write_labels(self, signed: DataFrame, name: str) -> int:
+        order = ["tree", "place_h", "label", "rec"]  # with the record, so that rows of one label can be cut as well
+        ordered = signed.select("tree", "place_h", "label", "rec", "run").repartitionByRange(*order).sortWithinPartitions(*order)
+        ordered.write.option("maxRecordsPerFile", self.shape.file_rows).parquet(f"{self.path}/labels/{name}")
+        # the first row of each file
+        fence = [F.xxhash64("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path")]
+        start = F.col("_metadata.row_index") == 0
+        labels = self._read("labels", _SIGNED, [name]).where(start).select(F.lit("labels").alias("kind"), *fence, "tree", "place_h", F.col("label").alias("at"))
+        texts = self._read("texts", _TEXTS, [name]).where(start).select(F.lit("texts").alias("kind"), *fence, F.lit(0).cast("tinyint").alias("tree"), "place_h", F.col("rec").alias("at"))
+        labels.unionByName(texts).withColumn("run", F.lit(name)).coalesce(1).write.parquet(f"{self.path}/fences/{name}")
+        return self._read("labels", _SIGNED, [name]).count()
+
+    def fences(self) -> dict[str, Fences]:
+        """Of labels and of texts: one row for each file, which is what comes to the driver."""
+        names, out = self.runs, {}
+        rows = self._read("fences", _FENCES, names).collect() if names else []
+        for kind in ("labels", "texts"):
+            runs, paths = [], {}
+            for name in names:
+                mine = [r for r in rows if r["kind"] == kind and r["run"] == name]
+                if mine:
+                    keys = _ordered(*(np.array([r[c] for r in mine], np.int64) for c in ("tree", "place_h", "at")))
+                    order = np.argsort(keys, kind="stable")
+                    runs.append((keys[order], np.array([r["file"] for r in mine], np.int64)[order]))
+                    paths |= {r["file"]: r["path"] for r in mine}
+            out[kind] = Fences(tuple(runs), paths)
+        return out
+
+    def _of_files(self, schema: str, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    # look-ups -------------------------------------------------------------------------------------
+    def texts_of(self, keys: DataFrame, fences: Fences) -> DataFrame:
+        """The texts of those files that may hold these (place_h, rec)."""
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                place, rec = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+                key = _ordered(np.zeros(len(place), np.int8), place, rec)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(fences.files(key, key)[1]))], names=["file"])
+
+        files = [r[0] for r in keys.select("place_h", "rec").mapInArrow(route, "file bigint").distinct().collect()]
+        return self._of_files(_TEXTS, sorted(fences.paths[f] for f in files))
 
     def _prefix(self) -> Column:
         return F.shiftright("label", 64 - 16 * self.shape.shortest())
 
-    def _search(self, asked: DataFrame) -> DataFrame:
-        """(q, q_run, rec, deep, more): entries whose labels begin like that of a text in a tree, the nearest first;
-        ``deep`` is the longest common prefix, in hashes, over all trees."""
-        nearest, width = self.shape.nearest, 64 - 16 * self.shape.shortest()
+    def routed(self, asked: DataFrame, fences: Fences) -> DataFrame:
+        """(file, tree, place_h, label, rec, run): the labels of texts, once for each file that may hold their prefix."""
+        width = np.uint64(64 - 16 * self.shape.shortest())
 
-        def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[np.ndarray] = []
-            torn: tuple | None = None  # the tree, place and prefix of a group that was cut, and goes on
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                tree, place, label = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+                low = (label.view(np.uint64) >> width) << width
+                high = low | ((np.uint64(1) << width) - np.uint64(1))
+                at, files = fences.files(_ordered(tree, place, low.view(np.int64)), _ordered(tree, place, high.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(files), *(c.take(pa.array(at)) for c in batch.columns)], names=["file", *batch.schema.names])
 
-            def solve(cols: list[np.ndarray], cut: bool) -> pa.RecordBatch | None:
-                tree, place, label, rec, run, asks = cols
-                prefix = label >> width
-                change = np.flatnonzero((tree[1:] != tree[:-1]) | (place[1:] != place[:-1]) | (prefix[1:] != prefix[:-1])) + 1
-                first = np.concatenate(([0], change))
-                size = np.diff(np.append(first, len(tree)))
-                questions = np.add.reduceat(asks, first)
-                incomplete = np.zeros(len(first), bool)
-                incomplete[-1] = cut
-                incomplete[0] |= torn == (tree[0], place[0], prefix[0])
-                q, q_run, found, deep, more = [], [], [], [], []
-                for g in np.flatnonzero((questions > 0) & ((questions < size) | incomplete)):
-                    part = slice(first[g], first[g] + size[g])
-                    kind = asks[part] == 1
-                    e_label, e_rec, e_run = label[part][~kind], rec[part][~kind], run[part][~kind]
-                    truncated = bool(incomplete[g])
-                    if truncated:  # a row without an entry, so that the text is known to have more
-                        n = int(questions[g])
-                        q, q_run, found, deep, more = q + rec[part][kind].tolist(), q_run + run[part][kind].tolist(), found + [None] * n, deep + [0] * n, more + [True] * n
-                    for mark, name, limit in zip(label[part][kind], rec[part][kind], run[part][kind]):
-                        before = e_run < limit
-                        labels_before, recs = e_label[before], e_rec[before]
-                        over = len(recs) > nearest
-                        if over:  # neighbours in the sorted run share the longest prefixes
-                            at = min(max(0, int(np.searchsorted(labels_before, mark)) - nearest // 2), len(recs) - nearest)
-                            recs, labels_before = recs[at : at + nearest], labels_before[at : at + nearest]
-                        differ = (labels_before ^ mark).view(np.uint64)
-                        deep += sum((differ >> np.uint64(bits) == 0).astype(int) for bits in (48, 32, 16, 0)).tolist() if len(recs) else []
-                        q += [name] * len(recs)
-                        q_run += [limit] * len(recs)
-                        found += recs.tolist()
-                        more += [over or truncated] * len(recs)
-                return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(q_run, pa.int32()), pa.array(found, pa.int64()), pa.array(deep, pa.int32()), pa.array(more, pa.bool_())], names=["q", "q_run", "rec", "deep", "more"]) if q else None
-
-            def joined() -> list[np.ndarray]:
-                return [np.concatenate(c) for c in zip(*held)]
+        return asked.select("tree", "place_h", "label", "rec", "run").mapInArrow(route, f"file bigint, {_SIGNED}")
+
+    def _search(self, asked: DataFrame, fences: Fences, nearest: int | None) -> DataFrame:
+        """(q, q_run, place_h, rec, deep, more): entries whose labels begin like that of a text in a tree, the nearest first;
+        ``deep`` is the longest common prefix, in hashes, over all trees; ``more`` if there are other entries.
 
+        Questions go to the files that hold their range; no other file is read. A file is a bounded piece of a run, so a prefix
+        with a third of all rows is many pieces. Of a file only the entries travel whose prefix passes a
+        table of bits made from the questions, of 16 MB at most; a file that gets many questions answers them in several tasks.
+        """
+        shape, width = self.shape, 64 - 16 * self.shape.shortest()
+        questions = materialize(self.routed(asked, fences), "forest-questions")
+        per_file = {r["file"]: r["n"] for r in questions.groupBy("file").agg(F.count("*").alias("n")).collect()}  # as many as files are read
+        salts = {f: -(-n // shape.asked_rows) for f, n in per_file.items() if n > shape.asked_rows}
+        bits = min(27, max(12, int(np.ceil(np.log2(16 * max(1, sum(per_file.values())))))))
+        bit = F.pmod(F.xxhash64("tree", "place_h", self._prefix()), F.lit(1 << bits))
+        words = questions.select(bit.alias("b")).groupBy(F.expr("cast(b div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("bits")).toArrow()
+        table = np.zeros((1 << bits) // 64, np.int64)
+        table[words["word"].to_numpy()] = words["bits"].to_numpy()
+        shared = self.spark.sparkContext.broadcast((table.view(np.uint64), salts))
+
+        def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Entries that may be asked for, once for each task that answers for their file."""
+            table, salts = shared.value
+            for batch in batches:
+                b = batch.column(6).to_numpy(zero_copy_only=False).astype(np.uint64)
+                keep = np.flatnonzero((table[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1))
+                n = np.ones(len(keep), np.int64)
+                if salts:
+                    files = batch.column(0).to_numpy(zero_copy_only=False)[keep]
+                    n = np.array([salts.get(f, 1) for f in files.tolist()], np.int64)
+                rows = np.repeat(keep, n)
+                salt = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rows)) for i in range(6)), pa.array(salt.astype(np.int32))], names=[*batch.schema.names[:6], "salt"])
+
+        entries = self._of_files(_SIGNED, sorted(fences.paths[f] for f in per_file))
+        entries = entries.select(F.xxhash64("_metadata.file_name").alias("file"), "tree", "place_h", "label", "rec", "run", bit.alias("b")) if per_file else entries.select(F.lit(0).cast("bigint").alias("file"), "*", bit.alias("b"))
+        entries = entries.mapInArrow(wanted, f"file bigint, {_SIGNED}, salt int").withColumn("asks", F.lit(0).cast("tinyint"))
+        many = F.coalesce(F.create_map(*[F.lit(x).cast("bigint") for pair in salts.items() for x in pair])[F.col("file")], F.lit(1)) if salts else F.lit(1)
+        questions = questions.withColumn("salt", F.pmod(F.xxhash64("rec", "run"), many).cast("int")).withColumn("asks", F.lit(1).cast("tinyint"))
+
+        def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows come by file, tree, place and prefix, there entries before questions, both by label."""
+            held: list[np.ndarray] | None = None  # the entries of the group that may go on
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                held.append([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)])
-                cols = joined()
-                same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & ((cols[2] >> width) == (cols[2][-1] >> width))
-                last = len(same) if same.all() else int(np.flatnonzero(~same)[-1]) + 1
-                if last == len(same) and len(same) < _CHUNK:
-                    held = [cols]
-                    continue
-                # a prefix with more rows than a task should hold is searched in pieces, and marked
-                big = len(same) - last >= _CHUNK or last == len(same)
-                use = cols if big else [c[:last] for c in cols]
-                held = [] if big else [[c[last:] for c in cols]]
-                result = solve(use, big)
-                torn = (cols[0][-1], cols[1][-1], cols[2][-1] >> width) if big else None
-                if result is not None:
-                    yield result
-            if held and (result := solve(joined(), False)) is not None:
-                yield result
-
-        entries = self._all("labels", _SIGNED).withColumn("asks", F.lit(0).cast("tinyint"))
-        rows = entries.unionByName(asked.withColumn("asks", F.lit(1).cast("tinyint")))
-        rows = rows.repartition("tree", "place_h", self._prefix()).sortWithinPartitions("tree", "place_h", "label")
-        found = rows.mapInArrow(ranges, "q bigint, q_run int, rec bigint, deep int, more boolean")
-        return found.groupBy("q", "q_run", "rec").agg(F.max("deep").alias("deep"), F.max("more").alias("more"))
+                cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(8)]
+                if held is not None:
+                    cols = [np.concatenate(c) for c in zip(held, cols)]
+                file, tree, place, label, rec, run, salt, asks = cols
+                prefix = label >> width
+                new = np.zeros(len(file), bool)
+                for c in (file, salt, tree, place, prefix):
+                    new[1:] |= c[1:] != c[:-1]
+                group = np.cumsum(new)
+                e, q = np.flatnonzero(asks == 0), np.flatnonzero(asks == 1)
+                # labels as ranks, so that a group and a label are one number
+                _, rank = np.unique(label, return_inverse=True)
+                key = (group << 32) | rank
+                first, last = np.searchsorted(group[e], group[q], "left"), np.searchsorted(group[e], group[q], "right")
+                near = np.searchsorted(key[e], key[q])
+                for begin in range(0, len(q), _CHUNK):
+                    part = slice(begin, begin + _CHUNK)
+                    mine, low, high = q[part], first[part], last[part]
+                    over = np.zeros(len(mine), bool)
+                    if nearest is not None:
+                        over = high - low > nearest
+                        start = np.clip(near[part] - nearest // 2, low, np.maximum(low, high - nearest))
+                        low, high = np.where(over, start, low), np.where(over, start + nearest, high)
+                    n = high - low
+                    a = np.repeat(np.arange(len(mine)), n)
+                    b = e[np.repeat(low, n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)]
+                    before = run[b] < run[mine[a]]
+                    a, b = a[before], b[before]
+                    differ = (label[b] ^ label[mine[a]]).view(np.uint64)
+                    deep = sum((differ >> np.uint64(shift) == 0).astype(np.int32) for shift in (48, 32, 16, 0))
+                    marks = np.flatnonzero(over)  # a row without an entry, so that the text is known to have more
+                    who = mine[np.concatenate([a, marks])]
+                    found = pa.array(np.concatenate([rec[b], np.zeros(len(marks), np.int64)]), mask=np.concatenate([np.zeros(len(b), bool), np.ones(len(marks), bool)]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(rec[who]), pa.array(run[who].astype(np.int32)), pa.array(place[who]), found, pa.array(np.concatenate([deep, np.zeros(len(marks), np.int32)]).astype(np.int32)), pa.array(np.concatenate([over[a], np.ones(len(marks), bool)]))],
+                        names=["q", "q_run", "place_h", "rec", "deep", "more"],
+                    )
+                open_rows = np.flatnonzero((group == group[-1]) & (asks == 0))
+                held = [c[open_rows] for c in cols]
+
+        rows = entries.unionByName(questions)
+        rows = rows.repartition("file", "salt").sortWithinPartitions("file", "salt", "tree", "place_h", self._prefix(), "asks", "label")
+        found = rows.select("file", "tree", "place_h", "label", "rec", "run", "salt", "asks").mapInArrow(ranges, "q bigint, q_run int, place_h bigint, rec bigint, deep int, more boolean")
+        return found.groupBy("q", "q_run", "place_h", "rec").agg(F.max("deep").alias("deep"), F.max("more").alias("more"))
 
     def _verified(self, pairs: DataFrame, asked: DataFrame, known: DataFrame) -> DataFrame:
         """(rec, run) of the asked rows with a candidate of the same place that is similar enough."""
         threshold = self.shape.threshold
         sides = (
-            pairs.join(asked.select(F.col("rec").alias("q"), F.col("run").alias("q_run"), F.col("place").alias("q_place"), F.col("text").alias("q_text")), ["q", "q_run"])
+            pairs.where("rec is not null").join(asked.select(F.col("rec").alias("q"), F.col("run").alias("q_run"), F.col("place").alias("q_place"), F.col("text").alias("q_text")), ["q", "q_run"])
             .join(known.select("rec", "place", "text"), "rec").where(F.col("place") == F.col("q_place"))
             .select("q", "q_run", "q_text", "text")
         )
@@ -263,40 +396,40 @@ class HistoryForest:
     def match(self, df: DataFrame, key: str, text: str, place: str, run: Column) -> DataFrame:
         """(key) of the rows of new batches that repeat, by place and text, a row of a lower batch.
 
-        A text known as it stands is a repeat at once. For the others each tree is searched by range for the labels
-        that begin alike, and candidates are verified on the texts: first those under the longer prefixes, then, for
+        A text whose 128-bit identifier is known is a repeat at once. For the others each tree is searched by range for the
+        labels that begin alike, and candidates are verified on the texts: first those under the longer prefixes, then, for
         texts still without a match, those under the shortest, with which the recall is reached. Texts that have more
         candidates than the first pass looks at, and no match among them, are compared with all of
-        theirs in a second pass, which spreads large groups over tasks.
+        theirs in a second pass. What is read of the history are the files that hold the batch's ranges: for a given batch
+        their number has a bound, however long the history.
 
         Defined cases: a null text or place repeats nothing; empty texts are equal; rows of one
         batch are not compared; repeated rows all come out or none; an empty batch or history gives no rows.
         """
-        fields = "rec bigint, place_h bigint, place string, text string, run int"
+        fences = self.fences()
         rows = df.where(F.col(text).isNotNull() & F.col(place).isNotNull()).select(F.col(key).alias("_key"), F.regexp_replace(place, _ENDS, "").alias("place"), normalized(F.col(text)).alias("text"), run.cast("int").alias("run"))
-        rows = rows.select("_key", "place", "text", "run", F.xxhash64("place", "text").alias("rec"))
-        asked = rows.select("rec", F.xxhash64("place").alias("place_h"), "place", "text", "run").distinct()
-        known = self._all("texts", fields)
-        old = known.groupBy("rec", "place", "text").agg(F.min("run").alias("since"))
-        exact = asked.join(old, ["rec", "place", "text"]).where(F.col("since") < F.col("run")).select("rec", "run")
-        exact = materialize(exact, "forest-exact")
+        rows = rows.select("_key", *_identifiers(), "place", "text", "run")
+        asked = materialize(rows.drop("_key").distinct(), "forest-asked")
+        same = ["place_h", "rec", "rec2"]
+        known = self.texts_of(asked, fences["texts"]).select(*same, F.col("run").alias("since"))
+        exact = materialize(asked.select(*same, "run").join(known, same).where("since < run").select("rec", "run").distinct(), "forest-exact")
         rest = materialize(asked.join(exact, ["rec", "run"], "left_anti"), "forest-rest")
-        signed = rest.select("rec", "place_h", "text", "run").mapInArrow(_sign(self.shape), _SIGNED)
-        pairs = materialize(self._search(signed), "forest-pairs")
+        signed = materialize(rest.select("rec", "place_h", "text", "run").mapInArrow(_sign(self.shape), _SIGNED), "forest-signed")
+        pairs = materialize(self._search(signed, fences["labels"], self.shape.nearest), "forest-pairs")
+        texts = self.texts_of(pairs.where("rec is not null"), fences["texts"])
         # longer prefixes first: a text with a match among these is not looked at again when they are widened
         shortest, name = self.shape.shortest(), [F.col("q").alias("rec"), F.col("q_run").alias("run")]
-        near = materialize(self._verified(pairs.where(F.col("deep") > shortest), rest, known), "forest-near")
+        near = materialize(self._verified(pairs.where(F.col("deep") > shortest), rest, texts), "forest-near")
         left = pairs.where(F.col("deep") <= shortest).join(near.select(F.col("rec").alias("q"), F.col("run").alias("q_run")), ["q", "q_run"], "left_anti")
-        near = near.unionByName(materialize(self._verified(left, rest, known), "forest-wide"))
+        near = near.unionByName(materialize(self._verified(left, rest, texts), "forest-wide"))
         hits = exact.unionByName(near)
-        undecided = pairs.where("more").select(*name).distinct().join(near, ["rec", "run"], "left_anti")
-        if undecided.limit(1).count():
-            hits = hits.unionByName(self._verified(self._all_pairs(rest.join(undecided, ["rec", "run"], "left_semi")), rest, known))
+        undecided = materialize(pairs.where("more").select(*name).distinct().join(near, ["rec", "run"], "left_anti"), "forest-undecided")
+        if not undecided.isEmpty():
+            all_pairs = materialize(self._search(signed.join(undecided, ["rec", "run"], "left_semi"), fences["labels"], None), "forest-all")
+            hits = hits.unionByName(self._verified(all_pairs, rest, self.texts_of(all_pairs, fences["texts"])))
         return rows.join(hits, ["rec", "run"], "left_semi").select(F.col("_key").alias(key))
 
-    def _all_pairs(self, asked: DataFrame) -> DataFrame:
-        """All entries under the prefixes of these texts; entries of one prefix are spread over ``salts`` tasks."""
-        salts = self.shape.salts
-        q = asked.select("rec", "place_h", "text", "run").mapInArrow(_sign(self.shape), _SIGNED).select("tree", "place_h", self._prefix().alias("prefix"), F.col("rec").alias("q"), F.col("run").alias("q_run"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-        entries = self._all("labels", _SIGNED).select("tree", "place_h", self._prefix().alias("prefix"), F.pmod("rec", F.lit(salts)).cast("int").alias("salt"), "rec", "run")
-        return entries.join(q, ["tree", "place_h", "prefix", "salt"]).where("run < q_run").select("q", "q_run", "rec").distinct()
+
+def _identifiers() -> list[Column]:
+    """Of place and text: two independent hashes of 64 bits, and that of the place alone."""
+    return [F.xxhash64("place", "text").alias("rec"), F.xxhash64(F.lit("again"), "text", "place").alias("rec2"), F.xxhash64("place").alias("place_h")]

@@ -55,11 +55,12 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    """History is batch 0; the waiting batches are appended as one run of their own and see what is lower than they are."""
+    """History is batch 0; the waiting batches are appended one after the other, and their rows see what is lower than they are."""
     forest = HistoryForest(spark, fresh_path(spark, "forest"))
     waiting = table(spark, sf, "new_commands")
     forest.append(HistoryForest.records(table(spark, sf, "commands"), "command", "cwd", F.lit(0)), "history")
-    forest.append(HistoryForest.records(waiting, "command", "cwd", F.col("batch_no")), "waiting")
+    for batch in sorted(r[0] for r in waiting.where("batch_no is not null").select("batch_no").distinct().collect()):
+        forest.append(HistoryForest.records(waiting.where(F.col("batch_no") == batch), "command", "cwd", F.col("batch_no")), f"batch{batch}")
     return forest.match(waiting, "id", "command", "cwd", F.col("batch_no"))
 
 
