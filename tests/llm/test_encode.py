@@ -37,6 +37,44 @@ def test_stream_gives_the_same_in_chunks_of_any_size(library):
             assert list(t.stream(raw[i : i + size] for i in range(0, len(raw), size))) == library.encode_ordinary(text)
 
 
+def test_texts_in_chunks_of_any_size(library, monkeypatch):
+    """Whatever the buffer: contractions, runs of blanks and long pieces that lie on a border."""
+    t = transducer(FOLDER, "byte_bpe_50k")
+    r = random.Random(5)
+    texts = [x for x in TEXTS if x] + ["it's we'll they've I'd 'tis '", "a   b", "a \n  b", " " * 90 + "x" * 90 + " " * 90, "\n" * 70 + "y", " " + "z" * 200 + "'s", "!" * 150 + "'ll" + "1" * 99 + " 2", "\t" * 80]
+    texts += ["".join(r.choices(["'", "s", "ll", " ", "  ", "\n", "a", "é", "1", "-", "漢"], k=60)) for _ in range(60)]
+    for buffer in (1, 5, 64):
+        monkeypatch.setattr(encode, "_BUFFER", buffer)
+        for text in texts:
+            assert t.encode(text) == library.encode_ordinary(text), (buffer, text)
+            size = r.randint(1, 7)
+            assert list(t.encode_stream(text[i : i + size] for i in range(0, len(text), size))) == library.encode_ordinary(text)
+
+
+def test_memory_does_not_grow_with_the_text():
+    """Twenty million characters, as words and as one single piece, in a few megabytes."""
+    import tracemalloc
+
+    t = transducer(FOLDER, "byte_bpe_50k")
+    for block in ("the quick brown fox's tail 123 \n" * 2_000, "ab" * 500):
+        peaks = []
+        for n in (2, 8):
+            tracemalloc.start()
+            assert sum(1 for _ in t.encode_stream(block for _ in range(n))) > 0
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+        assert peaks[1] < peaks[0] + 3_000_000
+
+
+def test_lookahead_comes_from_the_merges():
+    """Live positions are those whose bytes since begin a token; most of the time far fewer than the longest token allows."""
+    t = Transducer({bytes([i]): i for i in range(97, 101)} | {b"ab": 300, b"abc": 301})
+    p = encode._Piece(t)
+    assert list(p.feed(b"ddab")) == [] and p.live() == {2, 4}
+    assert list(p.feed(b"c")) == [] and p.live() == {5}
+    assert list(p.close()) == [100, 100, 301]
+
+
 def test_tokens_come_before_the_end():
     t = transducer(FOLDER, "byte_bpe_50k")
     read = 0
