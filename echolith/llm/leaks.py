@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,7 +29,7 @@ class LeakScanner:
     """One Aho-Corasick automaton over words: all windows of ``n`` words of the passages, and the answers.
 
     Words are numbers, so a state is a word and not a character; a word that no item has is 0 and
-    ends every match. It is built once for each worker process from the items.
+    ends every match.
     """
 
     def __init__(self, items: list[tuple], n: int):
@@ -74,10 +75,22 @@ class LeakScanner:
         return out
 
 
-def _blocks(items: list[tuple]) -> Iterator[list[tuple]]:
+#: The last automaton of this worker process, by the identifier of its items.
+_BUILT: dict[str, LeakScanner] = {}
+
+
+def _scanner(name: str, items: list[tuple], n: int) -> LeakScanner:
+    """Built once for each worker process and block of items, not for each task."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = LeakScanner(items, n)
+    return _BUILT[name]
+
+
+def _blocks(items: Iterator[tuple]) -> Iterator[list[tuple]]:
     block, chars = [], 0
     for item in items:
-        block.append(item)
+        block.append(tuple(item))
         chars += len(item[1] or "") + len(item[2] or "")
         if chars >= _BLOCK_CHARS:
             yield block
@@ -91,26 +104,25 @@ def leaked_spans(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
 
     Runs are as long as they go; ``start`` and ``end`` are offsets of characters in the text as it is.
     Answers are reported for the items whose passage the document has. The corpus is scanned
-    once, in a map without shuffle; test items are a fixed set, cut into blocks of about 16 million characters,
-    each with a pass of its own.
+    once, in a map without shuffle. Test items come to the driver one after the other; a block of about 16 million characters
+    of them is one automaton, and each further block, of which a test suite has none, another pass.
 
     Defined cases: null, empty and wordless texts hold nothing; passages shorter than ``n_words`` and
     null passages are never found; items alike are all reported; a repeated document row is reported
     again; empty tables give no rows.
     """
     doc_kind, item_kind = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
-    rows = items.where(F.col(passage).isNotNull()).select(item_id, passage, F.col(answer) if answer else F.lit(None).cast("string")).orderBy(item_id).collect()
+    rows = items.where(F.col(passage).isNotNull()).select(item_id, passage, F.col(answer) if answer else F.lit(None).cast("string")).orderBy(item_id).toLocalIterator()
     schema = f"`{doc_id}` {doc_kind}, `{item_id}` {item_kind}, field string, start bigint, end bigint, n_words bigint"
     spark = docs.sparkSession
-    out = spark.createDataFrame([], schema)
-    for block in _blocks([tuple(r) for r in rows]):
-        shared = spark.sparkContext.broadcast(block)
-        item_type = items.schema[item_id].dataType
+    item_type, out = items.schema[item_id].dataType, None
+    for block in _blocks(rows):
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared, item_type=item_type) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_type
 
-            scanner = LeakScanner(shared.value, n_words)
+            scanner = _scanner(name, shared.value, n_words)
             for batch in batches:
                 at, found = [], []
                 for i, body in enumerate(batch.column(1).to_pylist()):
@@ -128,10 +140,10 @@ def leaked_spans(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
                 )
 
         part = docs.where(F.col(text).isNotNull()).select(doc_id, text).mapInArrow(scan, schema)
-        out = part if len(rows) and block[0] == tuple(rows[0]) else out.unionByName(part)
-    return out
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
-def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, n_words: int = 12) -> DataFrame:
+def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, n_words: int = 12, answer: str | None = None) -> DataFrame:
     """(doc_id, item_id): each document with the items it contains, once; see ``leaked_spans``."""
-    return leaked_spans(docs, doc_id, text, items, item_id, passage, None, n_words).where("field = 'passage'").select(doc_id, item_id).distinct()
+    return leaked_spans(docs, doc_id, text, items, item_id, passage, answer, n_words).where("field = 'passage'").select(doc_id, item_id).distinct()

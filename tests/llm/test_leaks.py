@@ -57,5 +57,17 @@ def test_blocks_of_items_give_the_same(spark, rows, monkeypatch):
     assert found(spark, rows, docs, items) == whole == brute(docs, items, 12)
 
 
+def test_blocks_that_begin_alike_are_all_scanned(spark, rows, monkeypatch):
+    monkeypatch.setattr(module, "_BLOCK_CHARS", 10)
+    items = [(5, PASSAGE, None), (5, "other " + PASSAGE, None), (5, PASSAGE, None), (6, PASSAGE.upper(), None)]
+    assert found(spark, rows, [(1, PASSAGE)], items) == [(1, 5), (1, 6)]
+
+
+def test_a_worker_builds_an_automaton_once():
+    items = [(1, PASSAGE, None)]
+    first = module._scanner("a", items, 12)
+    assert module._scanner("a", items, 12) is first and module._scanner("b", items, 12) is not first
+
+
 def test_empty_tables(spark, rows):
     assert found(spark, rows, [], [(1, PASSAGE, None)]) == [] and found(spark, rows, [(1, PASSAGE)], []) == []
