@@ -18,18 +18,20 @@ _SCALE = 32767
 
 @dataclass(frozen=True)
 class IndexShape:
-    """``sample`` bounds the vectors that the two codebooks are fitted on; everything else sees all vectors.
+    """The two codebooks are fitted on ``sample`` vectors or 32 for each centroid, at most 32 * ``most_centroids``;
+    everything else sees all vectors.
 
     A query visits the cells nearest to it until it has seen ``least_cells`` of them and
     ``least_entries`` entries; both are doubled until ``probes`` of the vectors find ``recall`` of
     their true neighbours, at the end by visits to all cells. Cells near to each other are scanned by one
-    task, up to ``part`` entries; cells of more than ``block`` entries are scanned by several tasks.
+    task, up to ``part`` entries; cells of more than ``block`` entries are scanned by several tasks. The members of
+    a group of copies are unfolded in ``salts`` tasks.
     """
 
     dims: int = 384
     sample: int = 16_384
     rounds: int = 8
-    most_centroids: int = 1_024
+    most_centroids: int = 4_096
     least_cells: int = 4
     least_entries: int = 32
     block: int = 4_096
@@ -38,14 +40,18 @@ class IndexShape:
     part: int = 8_192
     probes: int = 512
     recall: float = 0.995
+    salts: int = 16
 
     def centroids(self, n: int) -> int:
-        """Of each half: a power of two, for cells of about ``per_cell`` vectors, with 16 sampled vectors each."""
+        """Of each half: a power of two, for cells of about ``per_cell`` vectors, so that cells do not grow with the table."""
         k = 16
-        while k * k * self.per_cell < n and k < self.most_centroids and k * 32 <= self.sample:
+        while k * k * self.per_cell < n and k < self.most_centroids:
             k *= 2
         return k
 
+    def sampled(self, n: int) -> int:
+        return max(self.sample, 32 * self.centroids(n))
+
 
 def _unit_rows(blobs: list, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, unit vectors) of the blobs that hold a usable vector."""
@@ -261,17 +267,19 @@ def neighbours(df: DataFrame, key: str, blob: str, at: str, k: int = 5, floor: f
     coded = materialize(latest.select("key", "blob").mapInArrow(encode, "key string, code binary").withColumn("h", F.xxhash64("code")).withColumn("h2", F.xxhash64("code", F.lit(1))), "vector-codes")
 
     # copies: the group's first key stands for all
-    groups = coded.groupBy("h", "h2").agg(F.min("key").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    copies = materialize(coded.select("key", "h", "h2").join(groups.select("h", "h2", "rep"), ["h", "h2"]).select("rep", "key"), "vector-copies")
+    salt = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(shape.salts)).cast("int").alias("salt")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(shape.salts - 1))).alias("salt")
+    groups = coded.groupBy("h", "h2").agg(F.min("key").alias("rep"), F.count("*").alias("n")).where("n > 1").select("h", "h2", "rep", salts)
+    copies = materialize(coded.select("key", "h", "h2", salt).join(groups, ["h", "h2", "salt"]).select("rep", "salt", "key"), "vector-copies")
     entries = coded.select("key", "code").join(copies.where("key <> rep").select("key"), "key", "left_anti")
 
     n = coded.count()
-    size = shape.centroids(n)
+    size, most = shape.centroids(n), shape.sampled(n)
     rows = coded.select("key", "code")
-    if n > shape.sample:
-        share = int(1_000_000 * min(1.0, 1.2 * shape.sample / n)) + 1
-        rows = rows.where(F.pmod(F.xxhash64("key", F.lit(shape.seed)), F.lit(1_000_000)) < share)
-    sample = [bytes(r[0]) for r in rows.select("code").limit(shape.sample).collect()]
+    if n > most:
+        share = int(1_000_000_000 * min(1.0, 1.2 * most / n)) + 1
+        rows = rows.where(F.pmod(F.xxhash64("key", F.lit(shape.seed)), F.lit(1_000_000_000)) < share)
+    sample = [bytes(r[0]) for r in rows.select("code").limit(most).collect()]
     if not sample:
         return spark.createDataFrame([], "key string, neighbour string, similarity double").withColumnRenamed("key", key)
     x = _vectors(sample, dims)
@@ -404,7 +412,11 @@ def neighbours(df: DataFrame, key: str, blob: str, at: str, k: int = 5, floor: f
     # unfold: the first keys of each group of copies stand for the group
     heads = copies.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("key"))).where(F.col("r") <= k + 1).select("rep", F.col("key").alias("head"))
     wide = reps.join(heads, F.col("b") == F.col("rep"), "left").select("a", F.coalesce("head", "b").alias("b"), "sim")
-    wide = wide.join(copies, F.col("a") == F.col("rep"), "left").select(F.coalesce("key", "a").alias("a"), "b", "sim")
-    fellows = copies.join(heads, "rep").where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b"), F.lit(1.0).alias("sim"))
+    # a group's rows go to all parts of the group, the others as they are
+    grouped = copies.where("key = rep").select(F.col("rep").alias("a"), F.lit(True).alias("grouped"))
+    parts = F.when(F.col("grouped"), F.sequence(F.lit(0), F.lit(shape.salts - 1))).otherwise(F.array(F.lit(-1)))
+    wide = wide.join(grouped, "a", "left").select("a", "b", "sim", "grouped", F.explode(parts).alias("salt"))
+    wide = wide.join(copies.withColumnRenamed("rep", "a"), ["a", "salt"], "left").where("grouped is null or key is not null").select(F.coalesce("key", "a").alias("a"), "b", "sim")
+    fellows = copies.join(heads.select("rep", "head", salts), ["rep", "salt"]).where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b"), F.lit(1.0).alias("sim"))
     out = wide.unionByName(fellows).withColumn("r", F.row_number().over(first_by("a", "b"))).where((F.col("r") <= k) & (F.col("sim") >= floor))
     return out.select(F.col("a").alias(key), F.col("b").alias("neighbour"), F.least("sim", F.lit(1.0)).alias("similarity"))

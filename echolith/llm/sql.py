@@ -75,7 +75,47 @@ select doc_id, len(t) as n_chars, solid as n_solid, nw as n_words, nl as n_lines
 from c
 """
 
+# 32-bit floats from their bytes: sign, exponent and fraction of each
+_NEIGHBOURS = """
+with l as (
+  select command_id, hex(embedding_bytes) as h from (select *, row_number() over (partition by command_id order by created_at_ms desc nulls last) as r from vector_meta where command_id is not null)
+  where r = 1 and octet_length(embedding_bytes) = 1536
+), u as (
+  select command_id, [('0x' || h[8 * i + 7 : 8 * i + 8] || h[8 * i + 5 : 8 * i + 6] || h[8 * i + 3 : 8 * i + 4] || h[8 * i + 1 : 8 * i + 2])::bigint for i in range(0, 384)] as u from l
+), v as (
+  select command_id, [(1 - 2 * (x >> 31)) * (case when (x >> 23) & 255 = 0 then (x & 8388607) * pow(2.0, -149) else (1 + (x & 8388607) / 8388608.0) * pow(2.0, ((x >> 23) & 255) - 127) end) for x in u] as v
+  from u where len([x for x in u if (x >> 23) & 255 = 255]) = 0 and len([x for x in u if x & 2147483647 <> 0]) > 0
+), p as (
+  select a.command_id as a, b.command_id as b, list_cosine_similarity(a.v, b.v) as s from v a join v b on a.command_id <> b.command_id
+), k as (select *, row_number() over (partition by a order by s desc, b) as r from p)
+select distinct least(a, b) as command_id_a, greatest(a, b) as command_id_b from k where r <= 5 and s >= 0.7
+"""
+
+_SPANS = r"""
+with i as (select item_id, answer, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') as w, regexp_extract_all(lower(coalesce(answer, '')), '[\p{L}\p{N}]+') as aw from eval_items where passage is not null),
+iw as (select item_id, k, array_to_string(w[k:k + 11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as k from i)),
+d as (select doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
+dw as (select doc_id, k, array_to_string(w[k:k + 11], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as k from d)),
+hit as (select distinct doc_id, item_id, dw.k as k, dw.k - iw.k as shift from dw join iw using (g)),
+isle as (select *, k - row_number() over (partition by doc_id, item_id, shift order by k) as isle from hit),
+run as (select doc_id, item_id, 'passage' as field, min(k) as first, max(k) + 11 as last from isle group by doc_id, item_id, shift, isle),
+ans as (
+  select d.doc_id, i.item_id, 'answer' as field, k as first, k + len(aw) - 1 as last
+  from (select distinct doc_id, item_id from hit) h join (select doc_id, w, unnest(range(1, len(w) + 1)) as k from d) d using (doc_id) join i using (item_id)
+  where len(aw) > 0 and d.w[k:k + len(aw) - 1] = aw
+),
+spans as (select * from run union all select * from ans),
+pos as (select doc_id, text, regexp_split_to_array(text, '[\p{L}\p{N}]+') as gaps, regexp_extract_all(text, '[\p{L}\p{N}]+') as raw from d)
+select doc_id, item_id, field,
+  (list_sum([len(x) for x in gaps[1:first]]) + coalesce(list_sum([len(x) for x in raw[1:first - 1]]), 0))::bigint as "start",
+  (list_sum([len(x) for x in gaps[1:last]]) + list_sum([len(x) for x in raw[1:last]]))::bigint as "end",
+  last - first + 1 as n_words
+from spans join pos using (doc_id)
+"""
+
 SQL = {
+    "p6_found": _NEIGHBOURS,
+    "p9_spans": _SPANS,
     "p1_found": "select normalized_command from commands where normalized_command is not null group by 1 having count(*) >= 0.01 * (select count(*) from commands)",
     "p1_counts": "select normalized_command, count(*) as n_rows from commands where normalized_command is not null group by 1 having count(*) >= 0.01 * (select count(*) from commands)",
     "p4_found": _LINES + """, d as (select distinct * from r where content_hash is not null)

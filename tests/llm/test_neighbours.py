@@ -131,3 +131,20 @@ def test_visits_widen_with_the_table():
         alone = IndexShape(least_cells=width.cells, least_entries=width.entries, recall=0.0)
         assert module.wide_enough(probes, fellows, asked, books, counts, alone)[1] >= 0.985
         assert module.wide_enough(probes, fellows, asked, books, counts, IndexShape(recall=1.0, least_cells=int((counts > 0).sum()))) == (module.Width(int((counts > 0).sum()), n, size * size), 1.0)
+
+
+def test_a_large_group_of_copies_is_unfolded(spark):
+    """A third of all rows with one vector: each gets its first fellows by key, and the others get the group's first keys."""
+    x = clustered(80)
+    rows = [(f"v{i:03}", v.tobytes(), 1) for i, v in enumerate(x)] + [(f"c{i:03}", x[0].tobytes(), 1) for i in range(40)]
+    got = near(spark, rows, k=3)
+    group = sorted(["v000", *(f"c{i:03}" for i in range(40))])
+    for key in group:
+        assert {b for a, b in got if a == key} == set([g for g in group if g != key][:3])
+    assert len(got) == 120 * 3
+
+
+def test_codebooks_grow_with_the_table():
+    shape = IndexShape()
+    assert [shape.centroids(n) for n in (100, 40_000, 10**7, 10**9, 10**12)] == [16, 32, 512, 4096, 4096]
+    assert shape.sampled(100) == 16_384 and shape.sampled(10**12) == 32 * 4096
