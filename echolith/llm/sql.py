@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from echolith.llm import quality
-
 _WS = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
@@ -35,6 +33,25 @@ def _literal(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+# What the statistics count, written out here and not taken from the operator.
+_SOLID = r"[^\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýœаеёиоуыэюяіїєαεηιουωάέήίόύώϊϋΐΰ"
+_BULLET = r"^\s*(?:[-*+•‣◦·–]\s+|\(?\d{1,3}[.)]\s+|\(?[A-Za-z][.)]\s+|[-*]?\s*\[[ xX]\]\s)"
+_ENTRY = r"^\s*[\x21-\x7e]*[/\\.=:_][\x21-\x7e]*[^\s.!?:;,]$"
+_TABLE = r"^\s*\|.*\||\t[^\t]*\S[^\t]*\t|\S {3,}\S.*\S {2,}\S|\S {2,}\S.*\S {3,}\S|^[^,]*(?:,(?:[^, ][^,]*)?){3,}$|^[\s|+:\-=]{3,}$"
+_LOG = r"^\s*(?:[\[(]?\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}|[\[(]?\d{2}:\d{2}:\d{2}\b|[A-Z][a-z]{2} {1,2}\d{1,2} \d{2}:\d{2}|: \d{6,}:\d+;|[$%] \S|#\d+ +0x|at [\w.$<>]+\(|File \"|Traceback|panic\b|\[?(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)\b)"
+_END = r"[.!?:;…。！？：；][\"'”’)\]»」]*\s*$"
+_COMMON_WORDS = (
+    "the be to of and a in that have i it for not on with he as you do at this but his by from they we her or an will my one all would there their what so up out if about who which when can is are was were has had been no than into its our "
+    "der die das und ist nicht ein eine zu den von mit dem des auf im für sich als auch es an werden aus er hat dass wir sie nach wird bei einer um am sind noch wie einem über so zum war haben nur oder aber vor zur bis mehr man "
+    "le la les de et un une est que pour dans qui il pas sur au du en ne ce des se plus par avec ou sont nous on mais cette si tout était elle aux "
+    "el los las y en que del se por con no una su para es lo como más al sus le ha o este sí porque esta entre cuando muy sin sobre hay ya fue "
+    "il di che è per non sono con si da come più anche gli della nel alla o um os não uma mais foi het een van ik te dat niet op voor "
+    "и в не на что с по как это он она они все из за от для то но же бы так у к о или если только при есть да мы вы я а і та що до є як або не "
+    "και το της την του η ο να με για από σε που είναι στο στη τα οι θα δεν ένα μια αν"
+)
+
+
 def _chars(pattern: str) -> str:
     return f"coalesce(list_sum([len(regexp_replace(x, '\\s+', '', 'g')) for x in lines if regexp_matches(x, {_literal(pattern)})]), 0)"
 
@@ -44,36 +61,58 @@ def _count(text: str, pattern: str) -> str:
 
 
 def _ratio(part: str, whole: str) -> str:
-    return f"round(case when ({whole}) > 0 then ({part})::double / ({whole}) else 0.0 end, 6)"
+    return f"case when ({whole}) > 0 then ({part})::double / ({whole}) else 0.0 end"
 
 
-_COMMON = ", ".join(f"'{w}'" for w in quality._COMMON)
+_COMMON = ", ".join(f"'{w}'" for w in sorted(set(_COMMON_WORDS.split())))
 _STATS = rf"""
 with b as (
   select doc_id, coalesce(text, '') as t,
-    [x for x in regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n') if regexp_matches(x, {_literal(quality._SOLID)})] as lines,
+    [x for x in regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n') if regexp_matches(x, {_literal(_SOLID)})] as lines,
     regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') as w
   from documents
 ), c as (
-  select *, {_count('t', quality._SOLID)} as solid, {_count('t', r'\p{Latin}')} as latin, {_count('t', r'\p{L}')} as letters, len(w) as nw, len(lines) as nl from b
+  select *, {_count('t', _SOLID)} as solid, {_count('t', r'\p{Latin}')} as latin, {_count('t', r'\p{L}')} as letters, {_count('t', r'[\p{Latin}\p{Cyrillic}\p{Greek}]')} as listed, {_count('t', r'[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]')} as unspaced, len(w) as nw, len(lines) as nl from b
 )
 select doc_id, len(t) as n_chars, solid as n_solid, nw as n_words, nl as n_lines,
   {_ratio('list_sum([len(x) for x in w])', 'nw')} as mean_word,
   {_ratio('letters', 'solid')} as letter_share,
   {_ratio('solid - ' + _count('t', r'[\p{L}\p{N}]'), 'solid')} as symbol_share,
   {_ratio('latin', 'letters')} as latin_share,
-  {_ratio(_count('lower(t)', '[' + quality._VOWELS + ']'), 'latin')} as vowel_share,
+  {_ratio('listed', 'letters')} as listed_share,
+  {_ratio('unspaced', 'letters')} as unspaced_share,
+  {_ratio(_count('lower(t)', '[' + _VOWELS + ']'), 'listed')} as vowel_share,
   {_ratio(f'len([x for x in w if x in ({_COMMON})])', 'nw')} as common_share,
   {_ratio('len(list_distinct(w))', 'nw')} as distinct_share,
   {_ratio('nw', _count('t', '[,;]'))} as words_per_comma,
-  {_ratio(f'len([x for x in lines if regexp_matches(x, {_literal(quality._END)})])', 'nl')} as ended_lines,
+  {_ratio(f'len([x for x in lines if regexp_matches(x, {_literal(_END)})])', 'nl')} as ended_lines,
   {_ratio('nl - len(list_distinct(lines))', 'nl')} as repeated_lines,
-  {_ratio(_chars(quality._BULLET), 'solid')} as bullet_share,
-  {_ratio(_chars(quality._ENTRY), 'solid')} as entry_share,
-  {_ratio(_chars(quality._TABLE), 'solid')} as table_share,
-  {_ratio(_chars(quality._LOG), 'solid')} as log_share
+  {_ratio(_chars(_BULLET), 'solid')} as bullet_share,
+  {_ratio(_chars(_ENTRY), 'solid')} as entry_share,
+  {_ratio(_chars(_TABLE), 'solid')} as table_share,
+  {_ratio(_chars(_LOG), 'solid')} as log_share
 from c
 """
+_SHARES = "mean_word letter_share symbol_share latin_share listed_share unspaced_share vowel_share common_share distinct_share words_per_comma ended_lines repeated_lines bullet_share entry_share table_share log_share".split()
+_REASONS = f"""
+with s as ({_STATS})
+select doc_id, case
+  when n_solid = 0 then null
+  when log_share > 0.5 then 'log'
+  when bullet_share > 0.5 then 'list'
+  when table_share > 0.5 and n_lines >= 3 then 'table'
+  when letter_share < 0.5 then 'symbols'
+  when entry_share > 0.5 then 'entries'
+  when repeated_lines > 0.5 and n_lines >= 4 then 'repeated lines'
+  when n_words >= 20 and distinct_share < 0.15 and common_share > 0.75 then 'common words only'
+  when n_words >= 20 and distinct_share < 0.15 and common_share < 0.2 then 'repeated words'
+  when unspaced_share < 0.5 and mean_word > 12 then 'long words'
+  when listed_share >= 0.5 and n_words >= 6 and vowel_share < 0.2 then 'no vowels'
+  when n_words >= 20 and common_share > 0.75 then 'common words only'
+  when unspaced_share < 0.5 and n_words >= 8 and words_per_comma > 0 and words_per_comma < 2 then 'enumeration'
+  when listed_share >= 0.5 and n_words >= 20 and common_share < 0.04 then 'no common words'
+end as reason from s
+"""
 
 # 32-bit floats from their bytes: sign, exponent and fraction of each
 _NEIGHBOURS = """
@@ -128,5 +167,7 @@ iw as (select item_id, array_to_string(w[k:k + 11], ' ') as g from (select item_
 d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
 dw as (select doc_id, array_to_string(w[k:k + 11], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as k from d))
 select distinct doc_id, item_id from dw join iw using (g)""",
-    "p10_stats": _STATS,
+    "p10_stats": f"select doc_id, n_chars, n_solid, n_words, n_lines, {', '.join(f'round({c}, 6) as {c}' for c in _SHARES)} from ({_STATS})",
+    "p10_reasons": f"select * from ({_REASONS}) where reason is not null",
+    "p10_found": f"select doc_id from ({_REASONS}) where reason is not null",
 }

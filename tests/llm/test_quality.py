@@ -33,3 +33,25 @@ def test_long_repeated_and_none(spark):
     df = spark.createDataFrame([(1, PROSE * 2_000), (1, PROSE * 2_000)], "id int, text string")
     assert quality_stats(df, "id", "text").count() == 2 and not_prose(df.limit(0), "id", "text").count() == 0
     assert quality_stats(df.limit(0), "id", "text").count() == 0
+
+
+def test_other_scripts_have_word_rules_where_they_have_blanks(spark):
+    texts = {
+        1: "Это обычный текст о том, как работает система и что с ней можно сделать, если она не отвечает на запросы пользователя.",
+        2: "бгдкл прстф хцчшщ вгджз клмнп рстфх цчшщъ вгдкл мнпрс тфхцч",
+        3: "Το κείμενο αυτό είναι για να δούμε αν η γλώσσα είναι αρκετή για τον έλεγχο του συστήματος και της εργασίας.",
+        4: "漢字だけの文章には単語の間に空白がないので、単語の統計は使わない。これは普通の文章です。",
+        5: "яблоко, груша, слива, вишня, арбуз, дыня, малина, лимон, персик, инжир",
+        6: "bcdfg hjklm npqrs tvwxz bcdfg hjkl",
+        7: "이 문서는 시스템이 어떻게 작동하는지 설명하는 보통의 글입니다.",
+    }
+    df = spark.createDataFrame([(k, t, 1.0) for k, t in texts.items()], "id int, t string, reason double")
+    got = {r[0]: r[1] for r in not_prose(df, "id", "t").collect()}
+    assert got == {2: "no vowels", 5: "enumeration", 6: "no vowels"}
+
+
+def test_the_statistics_are_worked_out_once(spark):
+    """The filter stays above them, in the JVM."""
+    df = spark.createDataFrame([(1, "x")], "id int, t string")
+    plan = not_prose(df, "id", "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("IsCyrillic") == 1
