@@ -34,6 +34,11 @@ def _parser() -> argparse.ArgumentParser:
     add("semantic", "query", limit=10)
     add("recent", limit=20)
     add("stats")
+    add("count")
+    add("db")
+    add("status")
+    add("sources", "query", limit=20, mode="hybrid")
+    add("validate")
     add("cleanup", "mode", days=365, most=1_000_000)
     add("optimize")
     add("export", "path", format="json", limit=100_000)
@@ -63,6 +68,19 @@ def run(engine: HistoryEngine, args: argparse.Namespace, now_ms: int):
             return engine.recent(args.limit)
         case "stats":
             return engine.usage()
+        case "count":
+            return {"commands": engine.count()}
+        case "db":
+            return engine.counts().first().asDict() | engine.storage().first().asDict()
+        case "status":
+            return engine.index_status().first().asDict() | {"model": engine.provider.name, "dimensions": engine.provider.dimensions}
+        case "sources":
+            return engine.source_counts(words, args.limit, mode=args.mode)
+        case "validate":
+            errors = engine.packs().errors
+            if errors:
+                raise SystemExit("\n".join(map(str, errors)))
+            return {"entries": engine.packs().entries.count(), "errors": 0}
         case "cleanup":
             removed, remaining = engine.cleanup(args.mode, now_ms, args.days, args.most)
             return {"removed": removed, "remaining": remaining}

@@ -154,9 +154,11 @@ def candidates(history: DataFrame, query: str, limit: int, syntax: str = "litera
     begins = text.prefix_of_token(query, "command")
     near = F.lit(False) if most == 0 else text.fuzzy_distance(query, "command", most).isNotNull()
     scanned = _newest(rows, cap, tie).where(begins | near).withColumn("_scan", F.lit(1))
-    # bounded by the cap, so one task may hold them
+    # bounded by the cap, so one task may hold them; without a cap they are counted apart
     everything, alike = Window.partitionBy(F.lit(0)), Window.partitionBy("command", "cwd")
-    both = by_terms.unionByName(scanned).withColumn("_hits", F.count_if(F.col("_scan") == 0).over(everything)).withColumn("_least", F.min("_scan").over(alike))
+    both = by_terms.unionByName(scanned)
+    hits = F.count_if(F.col("_scan") == 0).over(everything) if cap is not None else by_terms.agg(F.count("*")).scalar()
+    both = both.withColumn("_hits", hits).withColumn("_least", F.min("_scan").over(alike))
     kept = both.where((F.col("_scan") == 0) | ((F.col("_hits") < limit) & (F.col("_least") == 1)))
     kind = classify(query)
     if keep_fuzzy:
@@ -177,12 +179,15 @@ def search(
         best = pool.orderBy(F.desc("completed_at_ms"), tie).limit(limit)
         place = F.row_number().over(everything.orderBy(F.desc("completed_at_ms"), tie)) - 1
         return best.withColumn("score", 1.0 - place / F.count("*").over(everything)).orderBy(F.desc("completed_at_ms"), tie)
-    return _scored(pool, everything, cwd, weights, product).orderBy(F.desc("score"), F.desc("completed_at_ms"), tie).limit(limit)
+    return _scored(pool, everything if cap is not None else None, cwd, weights, product).orderBy(F.desc("score"), F.desc("completed_at_ms"), tie).limit(limit)
 
 
 def _scored(pool: DataFrame, over, cwd: str | None, weights: Weights, product: str) -> DataFrame:
     at, runs = F.col("completed_at_ms"), F.col("run_count")
-    first, last, most = F.min(at).over(over), F.max(at).over(over), F.max(runs).over(over)
+    if over is None:  # no bound on the pool: its extremes are an aggregate of their own
+        first, last, most = (pool.agg(e).scalar() for e in (F.min(at), F.max(at), F.max(runs)))
+    else:
+        first, last, most = F.min(at).over(over), F.max(at).over(over), F.max(runs).over(over)
     match = F.lit(0.0)
     for kind, value in _KINDS.items():
         match = F.when(F.col("match_kind") == kind, value).otherwise(match)
@@ -193,22 +198,29 @@ def _scored(pool: DataFrame, over, cwd: str | None, weights: Weights, product: s
     return pool.withColumn("score", F.when(filters.is_internal("command", product), 0.0).otherwise(score))
 
 
-def batch_search(history: DataFrame, queries: list[tuple[int, str]], limit: int = 20, weights: Weights = Weights(), product: str = filters.PRODUCT, tie: str = "content_hash", block: int = 500) -> DataFrame:
-    """Many searches as one job: (query_id, ... , score), by terms only.
+def batch_search(
+    history: DataFrame, queries: list[tuple[int, str]], limit: int = 20, weights: Weights = Weights(), product: str = filters.PRODUCT, tie: str = "content_hash", block: int = 500, cap: int | None = -1,
+) -> DataFrame:
+    """Many searches as one job: (query_id, ... , score), by terms only, without the branch of beginnings and typos.
 
-    The stated queries, in blocks, meet each row once in a scan; every query keeps its newest rows up to
-    the cap, a limit that Spark applies in each task before the shuffle, and scores are
-    computed for each query apart.
+    Each query is looked for by one trigram, the middle one of its longest term: a row meets a query only if it holds that,
+    and is then tested for all terms. Every query keeps its newest rows up to the ``cap``, a limit that Spark
+    applies in each task before the shuffle (None: all of them), and scores are computed for each query apart.
     """
-    spark, cap, out = history.sparkSession, candidate_cap(limit), None
+    spark, out = history.sparkSession, None
+    cap = candidate_cap(limit) if cap == -1 else cap
     rows = history.select(*dict.fromkeys([*_RESULT, tie])).withColumn("_c", F.lower("command")).withColumn("_w", F.lower("cwd"))
     for at in range(0, len(queries), block):
         part = [(i, q.strip().lower(), [t for t in q.lower().split() if len(t) >= 3]) for i, q in queries[at : at + block]]
-        asked = F.broadcast(spark.createDataFrame([p for p in part if p[2]], "query_id bigint, query string, terms array<string>"))
+        longest = [(*p, max(p[2], key=len)) for p in part if p[2]]
+        marked = [(i, q, terms, t[(len(t) - 3) // 2 :][:3]) for i, q, terms, t in longest]
+        asked = spark.createDataFrame(marked, "query_id bigint, query string, terms array<string>, gram string")
+        grams = F.array(*[F.lit(g) for g in sorted({m[3] for m in marked})]) if marked else F.array().cast("array<string>")
+        held = F.filter(grams, lambda g: F.contains(F.col("_c"), g) | F.contains(F.col("_w"), g))
         hit = F.forall("terms", lambda t: F.contains(F.col("_c"), t) | F.contains(F.col("_w"), t))
-        found = rows.join(asked, hit)
+        found = rows.withColumn("gram", F.explode(held)).join(asked, "gram").where(hit).drop("gram")
         newest = Window.partitionBy("query_id").orderBy(F.desc("completed_at_ms"), tie)
-        pool = found.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= cap)
+        pool = found if cap is None else found.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= cap)
         verbatim = F.contains(F.col("_c"), F.col("query")) | F.contains(F.col("_w"), F.col("query"))
         pool = pool.withColumn("match_kind", F.when(verbatim, "exact").otherwise("partial"))
         scored = _scored(pool, Window.partitionBy("query_id"), None, weights, product)

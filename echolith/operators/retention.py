@@ -73,8 +73,17 @@ def edge_time(history: DataFrame, most: int) -> tuple[int, int] | None:
 
 
 def overflow(history: DataFrame, skip: int, tie: str = "content_hash") -> DataFrame:
-    """The rows after the first ``skip`` ones, newest first."""
-    return history.orderBy(F.desc("completed_at_ms"), tie).offset(skip)
+    """The rows after the first ``skip`` ones, newest first: the complement of ``newest``, and like it no global sort."""
+    if skip <= 0:
+        return history
+    edge = edge_time(history, skip)
+    if edge is None:
+        return history.limit(0)
+    border, newer = edge
+    at = F.col("completed_at_ms")
+    rank = F.row_number().over(Window.partitionBy("completed_at_ms").orderBy(tie))
+    of_border = history.where(at == border).withColumn("_r", rank).where(F.col("_r") > skip - newer).drop("_r")
+    return history.where((at < border) | at.isNull()).unionByName(of_border)
 
 
 def by_policy(history: DataFrame, days: int, most: int, now_ms: int, tie: str = "content_hash") -> DataFrame:

@@ -85,18 +85,18 @@ def stretches(df: DataFrame, key: str, end_ms: str, duration_ms: str, gap_ms: in
 
     marks = local.where("n = 0").select("part", "key").distinct()
     more = marks.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1").select(F.col("key").alias("mkey"))
-    marks = marks.join(F.broadcast(more), F.col("key").eqNullSafe(F.col("mkey"))).select(F.col("part").alias("mpart"), "mkey")
+    marks = marks.join(more, F.col("key").eqNullSafe(F.col("mkey"))).select(F.col("part").alias("mpart"), "mkey")
     here = F.col("part").eqNullSafe(F.col("mpart")) & F.col("key").eqNullSafe(F.col("mkey"))
     solid = local.where("n > 0")
 
     # the latest end before each partition, of the keys that span partitions
     before = Window.partitionBy("mkey").orderBy("mpart").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        solid.join(F.broadcast(marks), here).groupBy("mpart", "mkey").agg(F.max("end_ms").alias("latest"))
+        solid.join(marks, here).groupBy("mpart", "mkey").agg(F.max("end_ms").alias("latest"))
         .select("mpart", "mkey", F.max("latest").over(before).alias("carry"))
     )
     goes_on = F.col("carry").isNotNull() & (F.col("start_ms") <= F.col("carry") + F.lit(gap_ms))
-    spanning = solid.join(F.broadcast(carry), here).withColumn("goes_on", goes_on)
+    spanning = solid.join(carry, here).withColumn("goes_on", goes_on)
     ends = materialize(
         spanning.groupBy("mpart", "mkey").agg(
             F.sum(F.when(F.col("goes_on"), F.col("n"))).alias("more_n"),
@@ -114,11 +114,11 @@ def stretches(df: DataFrame, key: str, end_ms: str, duration_ms: str, gap_ms: in
     )
     at_head = here & (F.col("start_ms") == F.col("mstart"))
     kept = (
-        solid.join(F.broadcast(ends.select("mpart", "mkey", "carry")), here, "left")
+        solid.join(ends.select("mpart", "mkey", "carry"), here, "left")
         .where(~F.coalesce(goes_on, F.lit(False)))
         .select("part", "key", "start_ms", "end_ms", "n")
     )
-    return kept.join(F.broadcast(adds), at_head, "left").select(
+    return kept.join(adds, at_head, "left").select(
         F.col("key").alias(key),
         "start_ms",
         F.greatest("end_ms", F.coalesce("more_end", "end_ms")).alias("end_ms"),

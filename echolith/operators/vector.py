@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from echolith.functions.embedding import EmbeddingProvider, embed
 from echolith.operators.ingest import pending_index
+from echolith.runtime import materialize
 
 
 def _matrix(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
@@ -32,6 +34,17 @@ def knn(vectors: DataFrame, query: list[float], k: int, key: str = "command_id",
     return knn_many(vectors, [(0, query)], k, key, embedding).where("query_id = 0").select(key, "distance").orderBy("distance", key).limit(k)
 
 
+def knn_of(vectors: DataFrame, queries: DataFrame, k: int, key: str = "command_id", embedding: str = "embedding", block: int = 4096) -> DataFrame:
+    """``knn_many`` for a frame of queries (query_id, embedding): the driver holds one block of them at a time, and each
+    block's result is written before the next begins."""
+    out = None
+    rows = queries.select(F.col("query_id").cast("bigint"), embedding).toLocalIterator()
+    while part := [(r[0], list(r[1])) for r in islice(rows, block)]:
+        found = materialize(knn_many(vectors, part, k, key, embedding, block), "nearest")
+        out = found if out is None else out.unionByName(found)
+    return knn_many(vectors, [], k, key, embedding) if out is None else out
+
+
 def knn_many(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, key: str = "command_id", embedding: str = "embedding", block: int = 1024) -> DataFrame:
     """(query_id, key, distance, rank): the ``k`` nearest of each stated query, in blocks of queries."""
     spark, kind = vectors.sparkSession, dict(vectors.dtypes)[key]
@@ -62,8 +75,7 @@ def knn_many(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int,
 
 def semantic(matches: DataFrame, commands: DataFrame, limit: int, key: str = "command_id", id_column: str = "id") -> DataFrame:
     """Matches with their commands: similarity between 0 and 1; ids without a command are dropped before the limit."""
-    known = F.broadcast(matches)  # at most as many rows as were asked for
-    rows = commands.join(known, F.col(id_column) == F.col(key))
+    rows = commands.join(matches, F.col(id_column) == F.col(key))
     rows = rows.withColumn("similarity", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.col("distance"))))
     return rows.orderBy("distance", key).limit(limit)
 

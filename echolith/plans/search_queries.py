@@ -11,7 +11,6 @@ from echolith.operators.postings import TrigramIndex
 from echolith.plans import views
 from echolith.plans.views import HISTORY, KNOWLEDGE, NAMED, normal, tokens
 from echolith.runtime import fresh_path
-from echolith.sources.packs import Knowledge
 from echolith.sources.tables import table
 
 QUERIES: dict = {}
@@ -136,8 +135,8 @@ select query_id, vec_id as command_id, row_number() over (partition by query_id
 from embeddings, q qualify row_number() over (partition by query_id order by 1 - list_inner_product(embedding::double[], e::double[]), vec_id) <= 5""")
 def knn_many(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.vectors(spark, sf)
-    asked = [(r[0], list(r[1])) for r in rows.where("command_id % 100 = 0").collect()]
-    return _rounded(vector.knn_many(rows, asked, 5).select("query_id", "command_id", "rank", "distance"), 5, "distance")
+    asked = rows.where("command_id % 100 = 0").withColumnRenamed("command_id", "query_id")
+    return _rounded(vector.knn_of(rows, asked, 5).select("query_id", "command_id", "rank", "distance"), 5, "distance")
 
 
 @query(f"with {NAMED}, {_NEAR.format(30)} select id, command, cwd, round(greatest(0, least(1, 1 - distance)), 5) as similarity from near join named on named.id = near.command_id order by distance, command_id limit 20")
@@ -192,18 +191,6 @@ def ngram_features(spark: SparkSession, sf: str) -> DataFrame:
     return embedding.sparse_features(table(spark, sf, "part"), "p_partkey", "p_name")
 
 
-@query()
-def ngram_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey", embedding.embed("p_name", embedding.NgramProvider(384)).alias("embedding"))
-
-
-@query()
-def index_new_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors for the commands that have none."""
-    commands = table(spark, sf, "commands").select("id", "command")
-    return vector.index_new(commands, table(spark, sf, "vector_meta").select("command_id"), embedding.NgramProvider(384), views.NOW_MS)
-
-
 @query("select distinct v.command_id from vector_meta v where v.command_id is not null and v.command_id not in (select id from commands)")
 def vector_orphans(spark: SparkSession, sf: str) -> DataFrame:
     return vector.orphans(table(spark, sf, "vector_meta").select("command_id"), table(spark, sf, "commands")).where("command_id is not null").distinct()
@@ -272,12 +259,6 @@ def kb_learn(spark: SparkSession, sf: str) -> DataFrame:
     return knowledge.learn_flat(views.knowledge(spark, sf), "Brand#17")
 
 
-@query()
-def kb_learn_nested(spark: SparkSession, sf: str) -> DataFrame:
-    """One nested row; its flat form is ``kb_learn``."""
-    return knowledge.learn(views.knowledge(spark, sf), "Brand#17")
-
-
 @query(f"with {KNOWLEDGE} select topic, arg_max(category, ordinal) as description, count(*) as entries from kb group by topic")
 def kb_topics(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.knowledge(spark, sf)
@@ -285,13 +266,6 @@ def kb_topics(spark: SparkSession, sf: str) -> DataFrame:
     return named.join(knowledge.pack_sizes(rows, "topic"), "topic").select("topic", "description", "entries")
 
 
-@query()
-def kb_packs(spark: SparkSession, sf: str) -> DataFrame:
-    """The packs that come with the library, by topic."""
-    packs = Knowledge(spark)
-    return knowledge.topics(packs.packs).join(knowledge.pack_sizes(packs.entries, "topic"), "topic")
-
-
 @query(f"with {KNOWLEDGE} select ordinal, round({_jaccard(chr(39) + 'red wodget' + chr(39), 'lower(command)')}, 6) as similarity from kb")
 def trigram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.knowledge(spark, sf).select("ordinal", text.trigram_jaccard(text.trigrams(F.lit("red wodget")), text.trigrams(F.lower("command"))).alias("similarity"))

@@ -12,9 +12,9 @@ SUMMARY = ["command", "cwd", "exit_code", "duration_ms", "completed_at_ms", "ses
 HEADER = ",".join(SUMMARY)
 
 
-def summary(history: DataFrame, limit: int = 100_000, tie: str = "content_hash") -> DataFrame:
-    """The newest commands with the six columns of an export."""
-    return recent(history, limit, tie).select(*SUMMARY)
+def summary(history: DataFrame, limit: int | None = 100_000, tie: str = "content_hash") -> DataFrame:
+    """The newest commands with the six columns of an export; all of them, in no order, if ``limit`` is None."""
+    return (history if limit is None else recent(history, limit, tie)).select(*SUMMARY)
 
 
 def write_json(rows: DataFrame, path: str) -> None:

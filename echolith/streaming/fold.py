@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from echolith import schemas
+from echolith.manifest import Manifest, attempt
 from echolith.operators.ingest import accepted, fold, merge_folds
+from echolith.operators.retention import cleanup
 from echolith.runtime import hadoop_path
 
 
@@ -19,13 +22,14 @@ class HistoryStream:
     """History kept by micro-batches.
 
     Each batch is folded for itself and written under its number, so a batch that runs again after a
-    failure replaces its own folder and nothing is counted twice. ``read`` merges the folds;
-    ``compact`` merges them once and for all. Order is that of ``ingest_seq``: late events need
-    no watermark, they are just folded in.
+    failure replaces its own folder and nothing is counted twice. ``read`` merges the last snapshot with the folds after it;
+    ``compact`` makes such a snapshot, less what a clean-up ``mode`` removes, and deletes the folds that it holds. Order is
+    that of ``ingest_seq``: late events need no watermark, they are just folded in.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.state = Manifest(spark, self.path, {"snapshot": None, "through": -1})
 
     def _write(self, batch: DataFrame, number: int) -> None:
         fold(accepted(batch)).write.mode("overwrite").parquet(f"{self.path}/folds/batch={number}")
@@ -34,17 +38,36 @@ class HistoryStream:
         writer = events.writeStream.foreachBatch(self._write).option("checkpointLocation", f"{self.path}/progress")
         return (writer.trigger(availableNow=True) if available_now else writer).start()
 
-    def read(self) -> DataFrame:
-        folds = self.spark.read.option("basePath", f"{self.path}/folds").parquet(f"{self.path}/folds").drop("batch")
-        return merge_folds(folds, folds.limit(0))
+    def _numbers(self) -> list[int]:
+        fs, root = hadoop_path(self.spark, f"{self.path}/folds")
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(n.partition("=")[2]) for n in names if n.startswith("batch="))
 
-    def compact(self, out: str) -> None:
-        """A snapshot of history; retention works on it, and only later events are folded onto it."""
-        self.read().write.mode("overwrite").parquet(out)
+    def _parts(self, state: dict, numbers: list[int]) -> DataFrame:
+        paths = [f"folds/batch={n}" for n in numbers if n > state["through"]] + ([f"snapshots/{state['snapshot']}"] if state["snapshot"] else [])
+        if not paths:
+            return self.spark.createDataFrame([], schemas.HISTORY)
+        rows = self.spark.read.schema(schemas.HISTORY).parquet(*[f"{self.path}/{p}" for p in paths])
+        return merge_folds(rows, rows.limit(0))
+
+    def read(self) -> DataFrame:
+        return self._parts(self.state.read(), self._numbers())
+
+    def compact(self, mode: str | None = None, **options) -> DataFrame:
+        """History as it is after a snapshot of all folds so far; ``mode`` and its options as in ``retention.cleanup``."""
+        base, numbers = self.state.read(), self._numbers()
+        rows, name = self._parts(base, numbers), attempt("snapshot")
+        (cleanup(rows, mode, **options) if mode else rows).write.parquet(f"{self.path}/snapshots/{name}")
+        through = max([base["through"], *numbers])
+        self.state.commit({"version": base["version"] + 1, "snapshot": name, "through": through})
+        for n in numbers:
+            fs, where = hadoop_path(self.spark, f"{self.path}/folds/batch={n}")
+            fs.delete(where, True)
+        return self.read()
 
     def batches(self) -> int:
-        fs, root = hadoop_path(self.spark, f"{self.path}/folds")
-        return sum(1 for s in fs.listStatus(root) if s.getPath().getName().startswith("batch=")) if fs.exists(root) else 0
+        """Batches folded since the last snapshot."""
+        return sum(n > self.state.read()["through"] for n in self._numbers())
 
 
 def daily_counts(events: DataFrame, at: str, kind: str, late: str = "1 day") -> DataFrame:
