@@ -117,7 +117,12 @@ class Transducer:
         Of the text only what may belong to an unfinished piece is kept; a piece that outgrows the buffer goes on
         byte by byte through the transducer, so memory is constant whatever the length of text and pieces.
         """
-        splitter, cache, piece = _splitter(), self._cache, self.piece
+        for ids in self._parts(chunks):
+            yield from ids
+
+    def _parts(self, chunks: Iterable[str]) -> Iterator[Iterable[int]]:
+        """The ids as they become certain, some for each chunk."""
+        splitter, known, piece = _splitter(), self._cache.get, self.piece
         rest, long = "", None
         for chunk, last in _with_last(chunks):
             rest += chunk
@@ -127,28 +132,38 @@ class Transducer:
                 over = at < len(rest) or last
                 if at < len(rest) or not last:
                     at -= long.held  # the last of many blanks before something else is not of their piece
-                yield from long.state.feed(rest[:at].encode())
+                yield long.state.feed(rest[:at].encode())
                 if not over:
                     rest = rest[at:]
                     continue
-                yield from long.state.close()
+                yield long.state.close()
                 long = None
+            ids: list[int] = []
+            if last:
+                for text in splitter.findall(rest, at):
+                    ids.extend(known(text) or piece(text))
+                yield ids
+                return
             for m in splitter.finditer(rest, at):
                 # the end is certain if more text follows, and the beginning if a contraction would have been seen
-                if not last and (m.end() == len(rest) or m.start() + 3 > len(rest)):
+                if m.end() == len(rest) or m.start() + 3 > len(rest):
                     break
                 at = m.end()
-                yield from cache.get(m.group()) or piece(m.group())
+                ids.extend(known(m[0]) or piece(m[0]))
+            yield ids
             rest = rest[at:]
-            if not last and len(rest) > max(_BUFFER, 3):
+            if len(rest) > max(_BUFFER, 3):
                 long = _Long(self, rest)
                 cut = len(rest) - long.held
-                yield from long.state.feed(rest[:cut].encode())
+                yield long.state.feed(rest[:cut].encode())
                 rest = rest[cut:]
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text; special tokens' strings are ordinary text; null and empty give none."""
-        return list(self.encode_stream(text[i : i + _BUFFER] for i in range(0, len(text), _BUFFER))) if text else []
+        out: list[int] = []
+        for ids in self._parts(text[i : i + _BUFFER] for i in range(0, len(text), _BUFFER)) if text else ():
+            out.extend(ids)
+        return out
 
 
 class _Piece:
