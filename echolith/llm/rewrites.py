@@ -63,7 +63,11 @@ def variant_pairs(df: DataFrame, text: str, place: str, variant: str) -> DataFra
     members = materialize(encoded(df, text, place, variant).where("variant is not null").select(*_GROUP, "variant").distinct(), "variants")
     large = members.groupBy(*_GROUP).agg(F.count("*").alias("size")).where(F.col("size") > _BLOCK)
     large = large.select(*_GROUP, F.ceil(F.col("size") / F.lit(_BLOCK)).cast("int").alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("variant", F.lit(1)), F.lit(_SALTS)).cast("int")).join(large, [*_GROUP, "salt"], "left")
+    large = materialize(large, "large-groups")
+    if large.isEmpty():  # every group is one block
+        salted = members.withColumn("blocks", F.lit(1))
+    else:
+        salted = members.withColumn("salt", F.pmod(F.xxhash64("variant", F.lit(1)), F.lit(_SALTS)).cast("int")).join(large, [*_GROUP, "salt"], "left")
     blocks = F.coalesce("blocks", F.lit(1))
     cells = salted.groupBy(*_GROUP, blocks.alias("blocks"), F.pmod(F.xxhash64("variant"), blocks).cast("int").alias("block")).agg(F.array_sort(F.collect_set("variant")).alias("some"))
     own = cells.where(F.size("some") > 1).select(F.posexplode("some").alias("at", "a"), "some").select("a", F.explode(F.slice("some", F.col("at") + 2, F.size("some"))).alias("b"))
